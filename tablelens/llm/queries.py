@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, media, secrets, tokencount, toxicity
+from . import bpe, langid, lm, media, secrets, substring, tokencount, toxicity
 from .common import read_documents
 
 
@@ -16,10 +16,18 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(read_documents(spark, sf_dir))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.op3(read_documents(spark, sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op4(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.op7(read_documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digest(read_documents(spark, sf_dir))
 
@@ -32,6 +40,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scans, op4_toxicity, op8_bpe, op9_token_counts, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scans, op3_lm_scoring, op4_toxicity, op7_substring_dedup, op8_bpe, op9_token_counts, op10_media)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -31,8 +31,11 @@ EPOCHS = 8
 #: Bound of the training sample: texts of each label.
 TEXTS_PER_LABEL = 2500
 #: Terms in fewer training texts than this keep weight 0.
-MIN_TEXTS = 4
+MIN_TEXTS = 8
 CUT = 0.7
+#: Strength of the shrinkage that keeps terms without bearing at weight 0.
+L1 = 0.3
+REFIT, REFIT_SHRINK = 6, 0.1
 
 TERM = re.compile(r"\w+")
 
@@ -66,8 +69,13 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(samples: list[tuple[int, list[int]]], seed: int = 11, rate: float = 0.08, l2: float = 2e-4) -> FactorizationMachine:
-    """AdaGrad over single texts; ``samples``: label, distinct term buckets."""
+def train(samples: list[tuple[int, list[int]]], seed: int = 11, rate: float = 0.2, shrink: float = L1) -> FactorizationMachine:
+    """Proximal AdaGrad over single texts; ``samples``: label, distinct term buckets.
+
+    A term whose share in toxic texts is what it is in others carries noise
+    only; shrinking every term's whole row (w and v together) towards zero
+    leaves the terms that matter, however long a text is.
+    """
     weights = np.zeros((BUCKETS, 1 + FACTORS))
     labels = np.array([y for y, _ in samples])
     if not len(labels) or labels.min() == labels.max():
@@ -79,7 +87,10 @@ def train(samples: list[tuple[int, list[int]]], seed: int = 11, rate: float = 0.
     rows = [(y, a[usable[a]]) for y, f in samples for a in [np.array(f, int)]]
     weights[usable, 1:] = rng.normal(0, 0.01, (usable.sum(), FACTORS))
     bias, seen_b, seen = -3.0, 1.0, np.full_like(weights, 0.05)
-    for _ in range(EPOCHS):
+    for epoch in range(EPOCHS + REFIT):
+        if epoch == EPOCHS:  # what is left is fitted anew, hardly shrunk
+            alive = np.abs(weights).sum(1) > 0
+            rows, shrink = [(y, f[alive[f]]) for y, f in rows], shrink * REFIT_SHRINK
         for k in rng.permutation(len(rows)):
             y, f = rows[k]
             x = weights[f]
@@ -89,9 +100,12 @@ def train(samples: list[tuple[int, list[int]]], seed: int = 11, rate: float = 0.
             seen_b += g * g
             bias -= rate * g / np.sqrt(seen_b)
             if len(f):
-                grad = np.concatenate([np.full((len(f), 1), g), g * (total - x[:, 1:])], axis=1) + l2 * x
+                grad = np.concatenate([np.full((len(f), 1), g), g * (total - x[:, 1:])], axis=1)
                 seen[f] += grad**2
-                weights[f] = x - rate * grad / np.sqrt(seen[f])
+                step = rate / np.sqrt(seen[f])
+                x = x - step * grad
+                size = np.sqrt((x**2).sum(1, keepdims=True)) + 1e-12
+                weights[f] = x * np.maximum(0, 1 - shrink * step[:, :1] / size)
     return FactorizationMachine(bias, weights)
 
 
