@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, lm, media, secrets, substring, tokencount, toxicity
+from . import bpe, decontaminate, langid, lm, media, neardup, secrets, substring, tokencount, toxicity
 from .common import read_documents
 
 
@@ -24,6 +24,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op4(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.op5(read_documents(spark, sf_dir))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op6(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -44,6 +48,6 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scans, op3_lm_scoring, op4_toxicity, op6_decontamination, op7_substring_dedup, op8_bpe, op9_token_counts, op10_media)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scans, op3_lm_scoring, op4_toxicity, op5_minhash, op6_decontamination, op7_substring_dedup, op8_bpe, op9_token_counts, op10_media)}
 
 ORACLE_SQL = {"op6_decontamination": decontaminate.ORACLE_SQL}
