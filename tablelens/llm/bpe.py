@@ -269,6 +269,21 @@ def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_texts(df, make, f"{field(df, id_col)}, ids array<int>, decoded string", id_col, text_col)
 
 
+def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """id, n_tokens, ids packed as little-endian 32-bit integers, decoded_sha256."""
+
+    def make():
+        bpe = WordBpe(path or tokenizer_file("word_bpe_49k.json"))
+
+        def rows(ids, texts):
+            done = [bpe.encode_decode(t or "") for t in texts]
+            return [(i, len(packed) // 4, packed, hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()) for i, (packed, decoded) in zip(ids, done)]
+
+        return rows
+
+    return map_texts(df, make, f"{field(df, id_col)}, n_tokens long, ids binary, decoded_sha256 string", id_col, text_col)
+
+
 def encode_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """id, number and digest of the ids, digest of the decoded text.
 

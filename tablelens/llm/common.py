@@ -124,18 +124,23 @@ def block_count(df: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_
     return max(math.ceil(total / block_bytes), least)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder that the session names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the session names, ``spark.checkpoint.dir``.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests on one machine) is a
-    folder of our own set.
+    Only where it is unset (tests on one machine) is a folder of our own set.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not named:
             import tempfile
 
             named = tempfile.mkdtemp(prefix="spark-checkpoint-")
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
