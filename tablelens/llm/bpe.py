@@ -71,8 +71,12 @@ class TokenizationAutomaton:
         #: For a token: the gadgets that copied its target: their steps, and the labels removed.
         self.copies: dict[int, tuple[list[int], list[int]]] = {}
         self.table: dict[int, bool] = {}
+        void: set[int] = set()
         for step, (u, v) in enumerate(merges, 1):
             a, b, ab = vocab[u], vocab[v], vocab[u + v]
+            if a in void or b in void or not self._arc(a, b, step):
+                void.add(ab)  # v can't follow u by now: the gadget finds no place
+                continue
             steps, removed = self.copies.setdefault(a, ([], []))
             steps.append(step)
             removed.append(b)
@@ -80,6 +84,7 @@ class TokenizationAutomaton:
         self.steps = len(merges) + 1
         self.max_symbols = self._longest()
         #: Inside a word no label is marked as its end; at the end every label is.
+        vocab = {t: i for t, i in vocab.items() if i not in void}
         self.inner = {t: i for t, i in vocab.items() if not suffix or not t.endswith(suffix)}
         self.final = {t[: len(t) - len(suffix)]: i for t, i in vocab.items() if not suffix or t.endswith(suffix)}
 
