@@ -6,15 +6,12 @@ share a band are candidates.  A candidate pair is compared batch by batch: once
 the posterior probability of a similarity at or over the threshold falls under
 ``MISS`` the pair is pruned; survivors are verified on their full shingle sets.
 
-Components need few of a bucket's pairs, so candidates come in rounds:
+Components need few of a bucket's pairs, so candidates come in two rounds:
 
 1. every member of a bucket with the bucket's pivot, the member that shares the
    most buckets, so likely the centre of its copies;
-2. where a bucket still holds several components, members with a second pivot
-   drawn by hash in each band;
-3. all pairs that are left between different components of a bucket, except
-   where the triangle inequality over the exact distances to the bucket's pivot
-   (the Jaccard distance is a metric) rules a link out.
+2. where a bucket still holds several components, the pairs between them that
+   their overlap with the pivot doesn't rule out (see ``_across_components``).
 
 So no candidate between different components goes unseen, and a group of n near
 copies costs about n pairs, not n^2.  Links meet in connected components by
@@ -30,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import split_words
@@ -156,6 +153,65 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: float) -> D
     return joined.mapInArrow(run, "a long, b long, common long, total long")
 
 
+def _against_pivot(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """pivot, id, comp, n (size of the member's set), k (what it shares with the
+    pivot's), extra (its other shingles)."""
+    own, other = texts.select("id", F.col("text").alias("t")), texts.select(F.col("id").alias("pivot"), F.col("text").alias("p"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        last = None, None
+        for batch in batches:
+            sizes, shared, extra = [], [], []
+            for t, p in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                if last[0] != p:
+                    last = p, shingle_hashes(p, n)
+                x = shingle_hashes(t, n)
+                rest = np.setdiff1d(x, last[1], assume_unique=True)
+                sizes.append(len(x))
+                shared.append(len(x) - len(rest))
+                extra.append(rest.view(np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int32()), pa.array(shared, pa.int32()), pa.array(extra, pa.list_(pa.int64()))], names=["pivot", "id", "comp", "n", "k", "extra"])
+
+    joined = members.join(own, "id").join(other, "pivot").select("pivot", "id", "comp", "t", "p")
+    return joined.mapInArrow(run, "pivot long, id long, comp long, n int, k int, extra array<long>")
+
+
+def _across_components(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), a < b, between components of one pivot that can be similar.
+
+    Sets s and x need o = percent (|s| + |x|) / (100 + percent) shingles in
+    common.  Of those at most min(k_s, k_x) are the pivot's; the others are
+    extra to both.  So either the pivot's alone may do, which their sizes say, or
+    the two share an extra shingle: in the order of these (those that only one
+    component has first, then rarest first) the first one they share leaves at
+    most as many more as follow it in either set.
+    """
+    need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100.0 + percent) - 1e-9) - F.least("x.k", "y.k")
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
+
+    # the pivot's shingles may do: kinds of members first, then their members
+    kinds = members.select("pivot", "comp", "n", "k").distinct()
+    close = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.comp") < F.col("y.comp")) & sizes & (need <= 0)
+    both = kinds.alias("x").join(kinds.alias("y"), close).select(F.col("x.pivot").alias("pivot"), *(F.col(f"{side}.{c}").alias(f"{side}{c}") for side in "xy" for c in ("comp", "n", "k")))
+    of = lambda side: members.select("pivot", F.struct("id").alias(side), *(F.col(c).alias(f"{side}{c}") for c in ("comp", "n", "k")))
+    by_pivot = both.join(of("x"), ["pivot", "xcomp", "xn", "xk"]).join(of("y"), ["pivot", "ycomp", "yn", "yk"]).select(*pair)
+
+    # they share an extra shingle
+    held = members.select("pivot", "id", "comp", "n", "k", F.explode("extra").alias("token"))
+    counts = held.groupBy("pivot", "token", "comp").agg(F.count("*").alias("c"))
+    useful = counts.groupBy("pivot", "token").agg(F.sum("c").alias("df"), F.count("*").alias("comps"), F.max_by("comp", F.struct("c", "comp")).alias("top")).filter("comps > 1")
+    own = Window.partitionBy("pivot", "id")
+    placed = held.join(useful, ["pivot", "token"]).withColumn("after", F.count("*").over(own) - F.row_number().over(own.orderBy("df", "token")))
+    minor = placed.filter("comp <> top").alias("x")
+    again = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp"))
+    once = (F.col("y.comp") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
+    by_extra = minor.join(placed.alias("y"), again & once & sizes & (1 + F.least("x.after", "y.after") >= need)).select(*pair)
+    return by_pivot.union(by_extra).distinct()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """id, comp (least id of its component) of every id in ``edges`` (a, b).
 
@@ -210,39 +266,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     links = first.filter(linked).select("a", "b")
     comps = connected_components(links)
 
-    # members with their component and distance to the pivot, of buckets with several components
-    far = first.select("a", "b", (1 - F.col("common") / F.col("total")).alias("d"))
-    far = far.union(far.select("b", "a", "d")).toDF("pivot", "id", "d")
-
-    def open_buckets(comps: DataFrame) -> DataFrame:
-        labelled = pivoted.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        several = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
-        return labelled.join(several, "h").join(far, ["id", "pivot"], "left").select("h", "id", "comp", F.when(F.col("id") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"))
-
-    def possible(d: str, e: str):
-        """False if the distances to a shared pivot rule out a link."""
-        return F.coalesce(F.abs(F.col(d) - F.col(e)) <= 1 - threshold + 1e-9, F.lit(True))
-
-    # 2. members with a second pivot, another one in each band
-    buckets = checkpointed(open_buckets(comps))
-    second = buckets.groupBy("h").agg(F.max_by(F.struct("id", "comp", "d"), F.xxhash64("id", "h")).alias("p"))
-    pairs = buckets.join(second, "h").filter("comp <> p.comp").filter(possible("d", "p.d")).select(F.col("id").alias("a"), F.col("p.id").alias("b"))
-    more = judged(pairs)
-    links = links.union(more.filter(linked).select("a", "b"))
-    comps = connected_components(links)
-
-    # 3. what is left between components of a bucket: the members outside the
-    # bucket's largest component with all others
-    buckets = checkpointed(buckets.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-    sizes = buckets.groupBy("h", "comp").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("h").agg(F.max_by("comp", F.struct("n", "comp")).alias("top"))
-    marked = buckets.join(largest, "h")
-    minor = marked.filter("comp <> top").select("h", F.col("id").alias("a"), F.col("comp").alias("ca"), F.col("d").alias("da"))
-    other = marked.select("h", F.col("id").alias("b"), F.col("comp").alias("cb"), F.col("d").alias("db"), "top")
-    condition = (minor.h == other.h) & (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))) & possible("da", "db")
-    done = first.select("a", "b").union(more.select("a", "b"))
-    rest = minor.join(other, condition).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(done, ["a", "b"], "left_anti")
-    last = judged(rest)
+    # 2. members of buckets that still hold several components, against their pivot
+    labelled = pivoted.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    several = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
+    members = labelled.join(several, "h").select("pivot", "id", "comp").distinct()
+    rest = _across_components(checkpointed(_against_pivot(members, texts, shingle)), percent)
+    last = judged(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"))
     comps = connected_components(links.union(last.filter(linked).select("a", "b")))
 
     joined = sigs.join(classes, "fp", "left").withColumn("class_id", F.coalesce("class_id", "id")).join(comps.withColumnRenamed("id", "class_id"), "class_id", "left")
