@@ -19,15 +19,20 @@ repeated rows count and score as rows.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BlockWords, answered, block_entries, collected, merged_answers, with_block
+from .blocks import PACKED, BlockWords, answered, block_entries, collected, merged_answers, split_words, to_buckets, with_block
 from .common import block_count, crc_bucket, splitmix
 
 MU = 500.0
+#: Distinct words that a task counts before it sends them on.
+FLUSH_WORDS = 400_000
 END = np.uint64(0x6A09E667F3BCC909)
 UNIGRAM, BIGRAM = np.uint64(0x3C6EF372FE94F82B), np.uint64(0xA54FF53A5F1D36F1)
 
@@ -93,22 +98,43 @@ class BackoffAutomaton:
         return total
 
 
-def training_totals(blocks: DataFrame, n_buckets: int) -> tuple[int, int]:
-    """Tokens and distinct tokens of the training documents, ends included."""
+def training_totals(df: DataFrame, train: Column, text_col: str, n_buckets: int) -> tuple[int, int]:
+    """Tokens and distinct tokens of the training documents, ends included.
 
-    def entries(docs: pa.Table):
-        words = BlockWords(docs["text"].to_pylist(), lower=True)
-        h, c = np.append(words.hashes, END), np.append(np.bincount(words.ids, minlength=len(words.hashes)), docs.num_rows)
-        order = np.argsort(h)
-        return h[order], c[order].astype(np.int64)
+    Tasks count the words of what they scan and send each word's hash once per
+    ``FLUSH_WORDS`` distinct ones, so no text moves.
+    """
 
-    def run(key, table):
+    def entries(number: dict[bytes, int], counts: list[int], ends: int) -> pa.Table:
+        h = np.append(np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number)), END)
+        order = np.argsort(h)
+        return to_buckets(0, h[order], np.append(np.array(counts, np.int64), ends)[order], n_buckets)
+
+    def scan(batches):
+        number: dict[bytes, int] = defaultdict()
+        number.default_factory = number.__len__
+        counts, ends = np.zeros(0, np.int64), 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                ids = np.array([number[w] for w in split_words(text, lower=True)], np.int64)
+                if len(counts) < len(number):
+                    counts = np.concatenate([counts, np.zeros(2 * len(number) - len(counts), np.int64)])
+                np.add.at(counts, ids, 1)
+                ends += 1
+                if len(number) > FLUSH_WORDS:
+                    yield from entries(number, counts[: len(number)], ends).to_batches()
+                    number.clear()
+                    counts[:], ends = 0, 0
+        yield from entries(number, counts[: len(number)], ends).to_batches()
+
+    def merge(key, table):
         h, c, _ = collected(table)
-        return pa.table({"n": pa.array([int(c.sum())], pa.int64()), "v": pa.array([int((np.diff(h) != 0).sum()) + 1 if len(h) else 0], pa.int64())})
+        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+        seen = np.add.reduceat(c, starts) if len(starts) else c
+        return pa.table({"n": pa.array([int(seen.sum())], pa.int64()), "v": pa.array([int((seen > 0).sum())], pa.int64())})
 
-    trained = blocks.filter("train").select("block", "text")
-    packed = block_entries(trained, entries, n_buckets)
-    n, v = packed.groupBy("bucket").applyInArrow(run, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    packed = df.filter(train).select(F.col(text_col).cast("string")).mapInArrow(scan, PACKED)
+    n, v = packed.groupBy("bucket").applyInArrow(merge, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
     return n or 0, v or 0
 
 
@@ -118,7 +144,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     """
     n = block_count(df, text_col)
     blocks = with_block(df, n, id_col, text_col, F.coalesce(train, F.lit(False)).alias("train"))
-    total, vocabulary = training_totals(blocks, n)
+    total, vocabulary = training_totals(df, train, text_col, n)
 
     def entries(docs: pa.Table):
         g = BlockGrams(docs)
