@@ -50,4 +50,4 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_language_id, op2_secret_scans, op3_lm_scoring, op4_toxicity, op5_minhash, op6_decontamination, op7_substring_dedup, op8_bpe, op9_token_counts, op10_media)}
 
-ORACLE_SQL = {"op6_decontamination": decontaminate.ORACLE_SQL}
+ORACLE_SQL = {"op5_minhash": neardup.ORACLE_SQL, "op6_decontamination": decontaminate.ORACLE_SQL, "op7_substring_dedup": substring.ORACLE_SQL}
