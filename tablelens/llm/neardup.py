@@ -253,7 +253,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     texts = chosen.select("id", "text")
     famed = members.join(chosen.select("id", "fame"), "id")
     pivots = famed.groupBy("h").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("pivot"))
-    pivoted = members.join(pivots, "h").select("h", "id", "pivot")
+    # written, so that a hot bucket's rows can be split in this join and are summed
+    # up in part before any later one
+    pivoted = checkpointed(members.join(pivots, "h").select("h", "id", "pivot"))
 
     def judged(pairs: DataFrame) -> DataFrame:
         """Exact sizes of the pairs that pass the sequential test, checkpointed."""
