@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..plans.cutting import checkpointed, shared_folder  # noqa: F401  used by the operators
+
 #: Rows handed to Python code at once, so that memory follows one slice of a
 #: batch and not the whole batch.
 SLICE_ROWS = 256
@@ -122,25 +124,3 @@ def block_count(df: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_
     total = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(math.ceil(total / block_bytes), least)
-
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names, ``spark.checkpoint.dir``.
-
-    Only where it is unset (tests on one machine) is a folder of our own set.
-    """
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named:
-            import tempfile
-
-            named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
