@@ -3,7 +3,8 @@
 Documents are dealt to blocks by a hash of their id.  A block sums up its own
 hashes first and sends one entry for each (block, hash), sorted and packed, to
 the bucket of the hash; a bucket merges the entries of all blocks and answers
-each block with what it can't know itself.  So a hash that a third of all
+each block with what it can't know itself, naming an entry by its place in what
+the block sent, not by its hash.  So a hash that a third of all
 documents hold costs a bucket one entry a block, the corpus is never in one
 place, and a task holds one block or one bucket.  Entries travel as sorted
 64-bit hashes, difference-coded by byte planes, which halves the shuffle.
@@ -78,24 +79,31 @@ def split_words(text: str | None, lower: bool) -> list[bytes]:
     return (raw.translate(LOWER_ASCII) if lower else raw).split()
 
 
+def bucket_cuts(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
+    """Where each bucket's part of sorted hashes starts, and the end."""
+    edges = np.array([(k << 64) // n_buckets for k in range(1, n_buckets)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(hashes, edges), [len(hashes)]])
+
+
 def to_buckets(block: int, hashes: np.ndarray, counts: np.ndarray, n_buckets: int) -> pa.Table:
     """Entries with distinct, sorted hashes as one packed row per bucket."""
-    edges = np.array([(k << 64) // n_buckets for k in range(1, n_buckets)], np.uint64)
-    cuts = [0, *np.searchsorted(hashes, edges), len(hashes)]
+    cuts = bucket_cuts(hashes, n_buckets).tolist()
     rows = [(k, block, int(b - a), pack_sorted(hashes[a:b]), pack64(counts[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, PACKED_ARROW)], schema=PACKED_ARROW)
 
 
-def collected(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hash, count and block of all entries in packed rows, by hash."""
+def collected(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hash, count, block and place in the block's row of all entries, by hash."""
     hashes = [unpack_sorted(x) for x in table["hashes"].to_pylist()]
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    sizes = list(map(len, hashes))
     h = np.concatenate(hashes)
     c = np.concatenate([unpack64(x) for x in table["counts"].to_pylist()]).view(np.int64)
-    b = np.repeat(np.array(table["block"].to_pylist(), np.int32), list(map(len, hashes)))
+    b = np.repeat(np.array(table["block"].to_pylist(), np.int32), sizes)
+    place = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
     order = np.argsort(h, kind="stable")
-    return h[order], c[order], b[order]
+    return h[order], c[order], b[order], place[order]
 
 
 def block_entries(blocks: DataFrame, entries: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], n_buckets: int) -> DataFrame:
@@ -108,32 +116,41 @@ def block_entries(blocks: DataFrame, entries: Callable[[pa.Table], tuple[np.ndar
 
 
 def merged_answers(packed: DataFrame, merge: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Answers to the blocks, as packed rows.
+    """Answers to the blocks, packed: ``hashes`` holds places in the block's row.
 
     ``merge`` gets a bucket's counts, the start of each hash's run, and the run
     of each entry; it returns which entries to answer, and the answers.
     """
 
     def run(key, table):
-        h, c, b = collected(table)
+        h, c, b, place = collected(table)
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
         runs = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(h))))
         chosen, answers = merge(c, starts, runs)
-        h, b, answers = h[chosen], b[chosen], answers[chosen]
-        order = np.argsort(b, kind="stable")
-        h, b, answers = h[order], b[order], answers[order]
+        b, place, answers = b[chosen], place[chosen], answers[chosen]
+        order = np.lexsort((place, b))
+        b, place, answers = b[order], place[order].astype(np.uint64), answers[order]
         cuts = np.append(np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, int), len(b))
-        rows = [(key[0].as_py(), int(b[x]), int(y - x), pack_sorted(h[x:y]), pack64(answers[x:y])) for x, y in zip(cuts, cuts[1:])]
+        rows = [(key[0].as_py(), int(b[x]), int(y - x), pack_sorted(place[x:y]), pack64(answers[x:y])) for x, y in zip(cuts, cuts[1:])]
         return pa.Table.from_arrays([pa.array(col, f.type) for col, f in zip(zip(*rows) if rows else [[]] * 5, PACKED_ARROW)], schema=PACKED_ARROW)
 
     return packed.groupBy("bucket").applyInArrow(run, PACKED)
 
 
-def answered(blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """``finish`` gets each block's documents and its answers by hash."""
+Answer = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def answered(blocks: DataFrame, answers: DataFrame, finish: Callable[[pa.Table, Answer], pa.Table], n_buckets: int, schema: str) -> DataFrame:
+    """``finish`` gets each block's documents, and a function from the block's
+    sorted hashes to the answered ones' indices and their answers."""
 
     def run(docs, table):
-        h, c, _ = collected(table)
-        return finish(docs, h, c)
+        def answer(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            cuts = bucket_cuts(hashes, n_buckets)
+            places = [cuts[k] + unpack_sorted(x).astype(np.int64) for k, x in zip(table["bucket"].to_pylist(), table["hashes"].to_pylist())]
+            values = [unpack64(x).view(np.int64) for x in table["counts"].to_pylist()]
+            return (np.concatenate(places), np.concatenate(values)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+        return finish(docs, answer)
 
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)

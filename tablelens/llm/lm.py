@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import PACKED, BlockWords, answered, block_entries, collected, merged_answers, split_words, to_buckets, with_block
+from .blocks import PACKED, Answer, BlockWords, answered, block_entries, collected, merged_answers, split_words, to_buckets, with_block
 from .common import block_count, crc_bucket, splitmix
 
 MU = 500.0
@@ -128,7 +128,7 @@ def training_totals(df: DataFrame, train: Column, text_col: str, n_buckets: int)
         yield from entries(number, counts[: len(number)], ends).to_batches()
 
     def merge(key, table):
-        h, c, _ = collected(table)
+        h, c, _, _ = collected(table)
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
         seen = np.add.reduceat(c, starts) if len(starts) else c
         return pa.table({"n": pa.array([int(seen.sum())], pa.int64()), "v": pa.array([int((seen > 0).sum())], pa.int64())})
@@ -157,11 +157,12 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
 
     out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
-    def finish(docs: pa.Table, hashes: np.ndarray, others: np.ndarray) -> pa.Table:
+    def finish(docs: pa.Table, answer: Answer) -> pa.Table:
         g = BlockGrams(docs)
         counts = g.counts()
         order = np.argsort(g.hashes)
-        counts[order[np.searchsorted(g.hashes[order], hashes)]] += others
+        places, others = answer(g.hashes[order])
+        counts[order[places]] += others
         unigrams, bigrams = counts[: g.n_words], counts[g.n_words :]
         automaton = BackoffAutomaton(unigrams, unigrams, g.keys, bigrams, total, vocabulary, mu)
         base = np.add.reduceat(automaton.unigram_arcs[g.ids], g.starts[:-1]) if docs.num_rows else np.zeros(0)
@@ -170,7 +171,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         return pa.Table.from_arrays([docs["id"].combine_chunks().cast(pa.int64()), pa.array(np.diff(g.starts)), pa.array(known), pa.array([total] * docs.num_rows, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())], schema=out)
 
     answers = merged_answers(block_entries(blocks, entries, n), merge)
-    return answered(blocks, answers, finish, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+    return answered(blocks, answers, finish, n, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
 
 
 def op3(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import BlockWords, answered, block_entries, merged_answers, split_words, with_block
+from .blocks import Answer, BlockWords, answered, block_entries, merged_answers, split_words, with_block
 from .common import block_count, splitmix
 
 WINDOW = 50
@@ -96,10 +96,11 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
 
     out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("intervals", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("kept_sha256", pa.string()), ("kept", pa.string())])
 
-    def finish(docs: pa.Table, hashes: np.ndarray, least: np.ndarray) -> pa.Table:
+    def finish(docs: pa.Table, answer: Answer) -> pa.Table:
         w = BlockWindows(docs, window)
         smallest = w.smallest.copy()
-        smallest[np.searchsorted(w.distinct, hashes)] = least
+        places, least = answer(w.distinct)
+        smallest[places] = least
         repeated = smallest[w.run] < w.ids[w.doc]
         steps = np.zeros(int(w.starts[-1]) + 1, np.int32)
         np.add.at(steps, w.at[repeated], 1)
@@ -120,7 +121,7 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(out), out)], schema=out)
 
     answers = merged_answers(block_entries(blocks, entries, n), merge)
-    return answered(blocks, answers, finish, "id long, n_words long, n_removed long, intervals array<struct<start:int,end:int>>, kept_sha256 string, kept string").withColumnRenamed("id", id_col)
+    return answered(blocks, answers, finish, n, "id long, n_words long, n_removed long, intervals array<struct<start:int,end:int>>, kept_sha256 string, kept string").withColumnRenamed("id", id_col)
 
 
 def op7(docs: DataFrame) -> DataFrame:
