@@ -31,6 +31,8 @@ from .blocks import PACKED, Answer, BlockWords, answered, block_entries, collect
 from .common import block_count, crc_bucket, splitmix
 
 MU = 500.0
+#: Text bytes of a block: its automaton takes about forty times that in a task.
+BLOCK_TEXT = 5 << 20
 #: Distinct words that a task counts before it sends them on.
 FLUSH_WORDS = 400_000
 END = np.uint64(0x6A09E667F3BCC909)
@@ -142,7 +144,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     """id, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and
     score (the automaton) of every row; learned from the rows where ``train``.
     """
-    n = block_count(df, text_col)
+    n = block_count(df, text_col, BLOCK_TEXT)
     blocks = with_block(df, n, id_col, text_col, F.coalesce(train, F.lit(False)).alias("train"))
     total, vocabulary = training_totals(df, train, text_col, n)
 
