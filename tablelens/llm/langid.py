@@ -39,7 +39,7 @@ MAX_LANGUAGES = 200
 #: Words of the short pieces that the model also learns from.
 PIECE_WORDS = 6
 #: A text is never rejected from this calibrated probability on.
-SURE = 0.5
+SURE = 0.4
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
