@@ -14,8 +14,8 @@ broadcast side.  Both are bounded: the benchmark is cut into chunks of at most
 costs passes and no memory.
 
 Defined cases: null and empty texts or items have no words and hit nothing;
-items of equal text all count; rows that repeat an id and text give one result
-row; ids of items sort as strings; an empty benchmark hits nothing.
+items of equal text all count; every row gives one result row, repeated ones and
+null ids too; ids of items sort as strings; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -87,12 +87,15 @@ def find_benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
         found = _candidates([r.h for r in hashes if r.long], [r.h for r in hashes if not r.all_long], window)
         if not hashes:
             continue
-        rows = texts.select("id", "same", found.alias("x")).select("id", "same", "x.n_words", F.explode_outer("x.found").alias("c")).select("id", "same", "n_words", "c.*")
+        # the first pass has one null candidate a row, which counts the row
+        marked = F.col("x.found") if hits else F.concat(F.array(F.lit(None)), F.col("x.found"))
+        rows = texts.select("id", "same", found.alias("x")).select("id", "same", "x.n_words", F.explode(marked).alias("c"), F.lit(not hits).alias("first_pass")).select("id", "same", "n_words", "c.*", (F.col("first_pass") & F.col("c").isNull()).cast("long").alias("copy"))
         start = F.col("pos") - F.col("off")
         placed = (start >= 1) & (start + F.size("w") - 1 <= F.col("n_words")) & (F.slice("around", F.greatest(start - F.col("first") + 1, F.lit(1)), F.size("w")) == F.col("w"))
         side = F.broadcast(part.select("h", F.col("off"), F.col("words").alias("w"), "item_id"))
-        hits.append(rows.join(side, (rows.h == side.h) & placed, "left").select("id", "same", "n_words", F.when(F.col("w").isNotNull(), F.struct(start.cast("int").alias("start"), (start + F.size("w") - 1).cast("int").alias("end"))).alias("span"), "item_id"))
-    grouped = reduce(DataFrame.unionByName, hits).groupBy("id", "same", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"))
+        hits.append(rows.join(side, (rows.h == side.h) & placed, "left").select("id", "same", "n_words", F.when(F.col("w").isNotNull(), F.struct(start.cast("int").alias("start"), (start + F.size("w") - 1).cast("int").alias("end"))).alias("span"), "item_id", "copy"))
+    grouped = reduce(DataFrame.unionByName, hits).groupBy("id", "same", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"), F.sum("copy").cast("int").alias("copies"))
+    grouped = grouped.withColumn("copy", F.explode(F.array_repeat(F.lit(True), F.col("copies"))))
     covered = F.expr("aggregate(spans, struct(0L AS n, 0 AS last), (a, s) -> struct(a.n + greatest(0, s.end - greatest(a.last, s.start - 1)) AS n, greatest(a.last, s.end) AS last), a -> a.n)")
     return grouped.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), "items", "spans")
 
