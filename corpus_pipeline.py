@@ -5,7 +5,7 @@ as Parquet and read again as the next one's docs:
 
 1. language ID: documents that the classifier rejects go (a null text, one
    without letters, or one of no clear language);
-2. MinHash near-dedup: one document of each group stays, the smallest id, under
+2. MinHash near-dedup: one row of each group stays, the smallest id (null last), under
    five-word shingles and a similarity of 0.8 or more;
 3. benchmark decontamination: documents with a benchmark window go;
 4. secret scans: secrets are masked, and n_chars follows the text;

@@ -100,10 +100,14 @@ def find_benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     return grouped.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), "items", "spans")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a hit; columns unchanged.  Null ids stay."""
-    hit = find_benchmark_hits(docs, benchmark, id_col, text_col).filter(F.col("n_hit") > 0).select(F.col(id_col).alias("__hit")).distinct()
-    return docs.join(hit, docs[id_col] == F.col("__hit"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has no hit; columns unchanged, ids unread.
+
+    Rows are matched by the SHA-256 digest of their text, which a hit always has.
+    """
+    digest = F.sha2(docs[text_col].cast("string").cast("binary"), 256)
+    hit = find_benchmark_hits(docs.select(digest.alias("digest"), docs[text_col].alias("text")), benchmark, "digest", "text").filter(F.col("n_hit") > 0).select(F.col("digest").alias("__hit")).distinct()
+    return docs.join(hit, digest == F.col("__hit"), "left_anti")
 
 
 def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -19,19 +19,23 @@ alternating large-star and small-star steps.
 
 Defined cases: a null text or one without words has an empty set, n_shingles 0,
 and stays alone; a text of fewer words than a shingle has one shingle, all its
-words; rows with equal ids are one document, each row gives a result; a null id
-gives a null component and is kept; ids are integers.
+words; ids are integers.  ``near_duplicates`` tells documents apart by id: rows
+with equal ids are one document, each row gives a result, and a null id gives a
+null component and is kept.  ``drop_near_duplicates`` judges rows: repeated and
+null ids are no exception.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import split_words
-from .common import checkpointed, map_texts, splitmix
+from .common import checkpointed, map_texts, shared_folder, splitmix
 
 PERMUTATIONS, BAND_ROWS = 128, 4
 #: Similar means 100 * intersection >= 100 * THRESHOLD * union.
@@ -282,9 +286,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that stand for their component; columns unchanged."""
-    lost = near_duplicates(docs, shingle, threshold, id_col, text_col).filter(~F.col("kept")).select(F.col(id_col).alias("__lost")).distinct()
-    return docs.join(lost, docs[id_col] == F.col("__lost"), "left_anti")
+    """One row of ``docs`` for each component, of the smallest id, null last;
+    columns unchanged.
+
+    Rows are numbered and written first, so that a number means the same row in
+    every later read.
+    """
+    spark, folder = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/rows-{uuid.uuid4()}"
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    numbered.write.option("compression", "zstd").parquet(folder)
+    rows = spark.read.schema(numbered.schema).parquet(folder)
+    groups = near_duplicates(rows, shingle, threshold, "__row", text_col).select("__row", F.col("component_id").alias("__comp"))
+    order = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    groups = checkpointed(groups.join(rows.select("__row", order.alias("__order")), "__row"))
+    kept = groups.groupBy("__comp").agg(F.min("__order").alias("least")).select(F.col("least.row").alias("__row"))
+    lost = groups.select("__row").join(kept, "__row", "left_anti")
+    return rows.join(lost, "__row", "left_anti").drop("__row")
 
 
 def op5(docs: DataFrame) -> DataFrame:
