@@ -3,7 +3,9 @@
 A random string costs many tokens for its length: natural words and identifiers
 reach three to five characters per token of a byte-pair vocabulary, random ones
 stay below two.  Candidates are runs of key characters outside the spans that
-the known shapes give; digests written as such and identifiers are left out.
+the known shapes give (what is left of a run that they touch is tested alone);
+digests written as such and identifiers are left out.  Letters in one case are a
+name only if they are few or read like words, that is, cost few tokens.
 
 Defined cases: a null text counts as empty and gives no span; an empty text
 gives none; repeated rows give repeated results; a span is measured in code
@@ -39,6 +41,9 @@ MAX_CHARS_PER_TOKEN = 2.2
 #: Candidates need at least so many distinct characters: a row of dashes or a
 #: repeated word is no secret.
 MIN_DISTINCT = 10
+#: Letters in one case that are a name at any cost in tokens, and the length from
+#: which a part that is no name is tested apart from its run.
+SHORT_NAME, LONG_PART = 8, 20
 
 
 def tokenizer_file(name: str) -> str:
@@ -66,25 +71,55 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return [(s, e, KINDS[k]) for s, e, k in sorted(found, key=lambda x: (x[0], x[2]))]
 
 
-def known_identifier(run: str) -> bool:
+def chars_per_token(run: str, enc) -> float:
+    return len(run) / len(enc.encode_ordinary(run))
+
+
+def parts_of(run: str) -> list[str]:
+    return [p for p in re.split(r"[+/_=-]+", run) if p]
+
+
+def wordlike(part: str, enc, max_ratio: float) -> bool:
+    """Letters in lower case, capitalised or in upper case, few or of ordinary cost."""
+    if not (part.isalpha() and (part[1:].islower() or part.isupper() or len(part) < 3)):
+        return False
+    return len(part) < SHORT_NAME or max(chars_per_token(part, enc), chars_per_token(part.lower(), enc)) >= max_ratio
+
+
+def known_identifier(run: str, enc, max_ratio: float = MAX_CHARS_PER_TOKEN) -> bool:
     """Digests, UUIDs, plain numbers, and names or paths made of words."""
     if UUID.fullmatch(run) or DIGEST.fullmatch(run) or not re.search(r"[A-Za-z]", run):
         return True
-    parts = re.split(r"[+/_=-]+", run)
-    return all(p.isalpha() and (p[1:].islower() or p.isupper() or len(p) < 3) for p in parts if p)
+    return all(wordlike(p, enc, max_ratio) for p in parts_of(run))
+
+
+def is_random(run: str, enc, max_ratio: float = MAX_CHARS_PER_TOKEN) -> bool:
+    """Whether the vocabulary compresses a run, or a long part of it, badly."""
+    if len(set(run)) < MIN_DISTINCT or known_identifier(run, enc, max_ratio):
+        return False
+    if chars_per_token(run, enc) < max_ratio:
+        return True
+    long = (p for p in parts_of(run) if LONG_PART <= len(p) < len(run) and len(set(p)) >= MIN_DISTINCT)
+    return any(not known_identifier(p, enc, max_ratio) and chars_per_token(p, enc) < max_ratio for p in long)
+
+
+def outside(start: int, end: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """What the spans in ``taken``, ordered by start, leave of a range."""
+    out = []
+    for s, e, _ in taken:
+        if s < end and start < e:
+            if start < s:
+                out.append((start, s))
+            start = e
+    return out + [(start, end)] if start < end else out
 
 
 def random_spans(text: str, taken: list[tuple[int, int, str]], enc, max_ratio: float = MAX_CHARS_PER_TOKEN) -> list[tuple[int, int, str]]:
-    """Runs that the vocabulary compresses badly and no span in ``taken`` touches."""
+    """Runs, or what the spans in ``taken`` leave of them, that the vocabulary compresses badly."""
     out = []
     for m in CANDIDATE.finditer(text):
-        run = m.group()
-        if len(set(run)) < MIN_DISTINCT or known_identifier(run):
-            continue
-        if any(s < m.end() and m.start() < e for s, e, _ in taken):
-            continue
-        if len(run) / len(enc.encode_ordinary(run)) < max_ratio:
-            out.append((m.start(), m.end(), "random"))
+        if len(set(m.group())) >= MIN_DISTINCT and not known_identifier(m.group(), enc, max_ratio):
+            out += [(s, e, "random") for s, e in outside(m.start(), m.end(), taken) if is_random(text[s:e], enc, max_ratio)]
     return out
 
 
