@@ -1,6 +1,7 @@
 """Corpus-wide tables of hashes, kept beside the documents that hold them.
 
-Documents are dealt to blocks by a hash of their id.  A block sums up its own
+Documents are dealt to blocks by a hash of their id and text, so that no id (null
+is one) gathers rows in a block; only rows equal in both share one.  A block sums up its own
 hashes first and sends one entry for each (block, hash), sorted and packed, to
 the bucket of the hash; a bucket merges the entries of all blocks and answers
 each block with what it can't know itself, naming an entry by its place in what
@@ -48,9 +49,9 @@ def unpack_sorted(data: bytes) -> np.ndarray:
 
 
 def with_block(df: DataFrame, n_blocks: int, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    """block, id (long), text and ``more`` of every row; rows of one id share a block."""
+    """block, id (long), text and ``more`` of every row, dealt by id and text."""
     return df.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_blocks)).cast("int").alias("block"),
+        F.pmod(F.xxhash64(F.col(id_col), F.col(text_col).cast("string")), F.lit(n_blocks)).cast("int").alias("block"),
         F.col(id_col).cast("long").alias("id"),
         F.col(text_col).cast("string").alias("text"),
         *more,
