@@ -3,20 +3,22 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..plans.cutting import checkpointed, shared_folder  # noqa: F401  used by the operators
 
-#: Rows handed to Python code at once, so that memory follows one slice of a
-#: batch and not the whole batch.
-SLICE_ROWS = 256
+#: Rows and text bytes handed to Python code at once (one row at least), so that
+#: memory follows one slice of a batch and not the whole batch.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 #: Text bytes of one block: what a single Python task holds at a time.
 BLOCK_BYTES = 8 << 20
@@ -39,6 +41,31 @@ def field(df: DataFrame, name: str) -> str:
     return f"`{name}` {df.schema[name].dataType.simpleString()}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared folder, read again: cuts its lineage where
+    an executor can be lost, and is smaller than a checkpoint of plain rows."""
+    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.option("compression", "zstd").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def text_keys(text: Column) -> list[Column]:
+    """k1, k2: 128 bits of hash that tell texts apart; equal texts have equal ones."""
+    return [F.xxhash64(F.lit(k), text.cast("string")).alias(f"k{k}") for k in (1, 2)]
+
+
+def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most SLICE_ROWS rows and about SLICE_BYTES of text."""
+    size = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right"))
+        end = min(max(full, at + 1), at + SLICE_ROWS, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def rows_to_batch(rows: Sequence[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays(
@@ -66,8 +93,7 @@ def map_texts(
         arrow = to_arrow_schema(out)
         fn = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch, 1):
                 yield rows_to_batch(
                     fn(part.column(0).to_pylist(), part.column(1).to_pylist()), arrow
                 )
