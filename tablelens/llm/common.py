@@ -49,6 +49,16 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def apart(summary: DataFrame, *keys: str) -> DataFrame:
+    """A summary by ``keys`` (longs) that a join with its table shuffles anew.
+
+    Where a join finds the summary already dealt by its keys, aggregation and join
+    run as one stage, and Spark can't split the other side's hot keys.  Keys that
+    are expressions hide how the rows are dealt.
+    """
+    return summary.withColumns({k: F.bitwise_not(F.bitwise_not(F.col(k))) for k in keys})
+
+
 def text_keys(text: Column) -> list[Column]:
     """k1, k2: 128 bits of hash that tell texts apart; equal texts have equal ones."""
     return [F.xxhash64(F.lit(k), text.cast("string")).alias(f"k{k}") for k in (1, 2)]

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import split_words
-from .common import field, slices, splitmix, text_keys, written
+from .common import apart, field, slices, splitmix, text_keys, written
 
 WINDOW, GRAIN = 50, 8
 #: Fixed odd bases of the rolling hashes.
@@ -201,12 +201,13 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     held = classes.select(*key, F.explode("anchors").alias("anchor"))
     ends = held.groupBy("anchor").agg(*(f(k).alias(f"{f.__name__}_{k}") for k in key for f in (F.min, F.max)))
     repeated = ends.filter("min_k1 <> max_k1 OR min_k2 <> max_k2").select("anchor")
-    wanted = held.join(repeated, "anchor").groupBy(*key).agg(F.collect_set("anchor").alias("anchors")).join(classes.select(*key, "id"), key)
+    wanted = held.join(apart(repeated, "anchor"), "anchor").groupBy(*key).agg(F.collect_set("anchor").alias("anchors")).join(classes.select(*key, "id"), key)
 
     texts = docs.groupBy(*key).agg(F.first("text").alias("text"))
     windows = _windows(texts.join(wanted, key).select(*key, "id", "text", "anchors"), window)
-    first = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"))
-    hits = windows.join(first, ["h1", "h2"]).filter(_smaller(F.col("least"), F.col("id"))).groupBy(*key).agg(F.collect_set("start").alias("starts"))
+    ids = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("id").alias("with_id"), F.count(F.lit(1)).alias("n"))
+    first = ids.filter((F.col("least") < F.col("most")) | F.col("with_id").between(1, F.col("n") - 1)).select("h1", "h2", "least")
+    hits = windows.join(apart(first, "h1", "h2"), ["h1", "h2"]).filter(_smaller(F.col("least"), F.col("id"))).groupBy(*key).agg(F.collect_set("start").alias("starts"))
     cuts = _cut(texts.join(hits, key).select(*key, "text", "starts"), window, keep_text)
     facts = written(classes.select(*key, F.col("id").alias("least")).join(cuts, key, "left"))
 
