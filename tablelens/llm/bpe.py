@@ -4,19 +4,28 @@ The automaton accepts exactly the token sequences that the merge list produces,
 and reads one token per transition.  It starts as one state with a loop for
 every base symbol.  Merges apply in order, each as a gadget, to what stands
 then: merge (u, v) -> uv gives every state with a u-arc an uv-arc to where v
-leads, and sends the u-arcs to a copy of their target that lacks the v-arc.  As
-all arcs of one label share their target in such an automaton, a state is named
-by the token read last, and a transition (token t, then token w) stands or
-doesn't.  Written out, the table has |V|^2 entries; here the gadgets are compiled
-into event lists (which merges copied a token's target, and when), from which an
-entry of the table is derived when first asked for, and then kept.
-
-Encoding a pre-split word walks the automaton along its arcs, longest label
-first, marking dead positions: a position has one state, as a prefix has one
-tokenization, so each is left at most once.  Decoding emits arc labels.
+leads, and sends the u-arcs to a copy of their target that lacks the v-arc.  A
+merge whose gadget finds no place (v can't follow u by then) is left out.
+
+All arcs of one label share their target, so a state is named by the token read
+last, and it starts as a copy of the state of that token's right part.  A state
+therefore has all labels but those that copies took: where x was taken, x lacks,
+and so do the labels that later gadgets made of x.  Labels are numbered in the
+order of a tree, each below its left part, siblings in the order of their merges;
+what a copy took is then a range of numbers.  So the transition table, which has
+|V|^2 entries, is compiled into a sorted list of ranges for each state, and a
+transition is a lookup there.
+
+A prefix of a word has one tokenization, so after each symbol the automaton is in
+one state: encoding goes through a pre-split word once, from left to right, and
+finds for each prefix the one label that an earlier state has an arc for.
+Decoding emits arc labels.
 
 Defined cases: a null text is an empty one and gives no ids; special tokens are
-found in the raw text, as the library does; repeated rows give repeated results.
+found in the raw text, as the library does; a very long text takes memory in
+proportion, and long words are not cached; an empty table gives an empty one;
+repeated rows give repeated results; other columns, whatever their names, are not
+read.  A tokenizer file of another make is refused.
 """
 
 from __future__ import annotations
@@ -31,15 +40,14 @@ import sys
 
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import field, map_texts
 from .secrets import tokenizer_file
 
-#: Entries of the caches of a task; full ones start anew.
-WORD_LIMIT = 150_000
-CHUNK_LIMIT = 250_000
-ENTRY_LIMIT = 1_000_000
-NO_COPIES: tuple = ([], [])
+#: Entries of the caches of a task, full ones start anew, and the longest that
+#: they hold.
+WORD_LIMIT, CHUNK_LIMIT, CACHED_CHARS = 150_000, 250_000, 48
 
 
 def byte_symbols() -> list[str]:
@@ -64,123 +72,159 @@ class TokenizationAutomaton:
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str = ""):
-        self.vocab, self.suffix = vocab, suffix
         self.labels = {i: t for t, i in vocab.items()}
         #: For a merged token: the step of its gadget, and its two parts.
         self.made: dict[int, tuple[int, int, int]] = {}
-        #: For a token: the gadgets that copied its target: their steps, and the labels removed.
-        self.copies: dict[int, tuple[list[int], list[int]]] = {}
-        self.table: dict[int, bool] = {}
+        #: For a token: what copies took from its state, and at which step.
+        self.taken: dict[int, dict[int, int]] = {}
         void: set[int] = set()
         for step, (u, v) in enumerate(merges, 1):
             a, b, ab = vocab[u], vocab[v], vocab[u + v]
-            if a in void or b in void or not self._arc(a, b, step):
-                void.add(ab)  # v can't follow u by now: the gadget finds no place
+            if a in void or b in void or not self._stands(a, b):
+                void.add(ab)
                 continue
-            steps, removed = self.copies.setdefault(a, ([], []))
-            steps.append(step)
-            removed.append(b)
+            self.taken.setdefault(a, {})[b] = step
             self.made[ab] = (step, a, b)
-        self.steps = len(merges) + 1
-        self.max_symbols = self._longest()
-        #: Inside a word no label is marked as its end; at the end every label is.
         vocab = {t: i for t, i in vocab.items() if i not in void}
+        self._number(sorted(vocab.values()))
+        self.rows: dict[int, list[int]] = {}
+        #: Inside a word no label is marked as its end; at the end every label is.
         self.inner = {t: i for t, i in vocab.items() if not suffix or not t.endswith(suffix)}
         self.final = {t[: len(t) - len(suffix)]: i for t, i in vocab.items() if not suffix or t.endswith(suffix)}
+        self.longest = max(map(len, [*self.inner, *self.final]), default=0)
 
-    def _longest(self) -> int:
-        return max((len(t) - (len(self.suffix) if self.suffix and t.endswith(self.suffix) else 0) for t in self.vocab), default=0)
-
-    def allowed(self, t: int, w: int) -> bool:
-        """Does the state after token ``t`` have an arc labelled ``w``?"""
-        key = t << 32 | w
-        known = self.table.get(key)
-        if known is None:
-            if len(self.table) > ENTRY_LIMIT:
-                self.table.clear()
-            known = self.table[key] = self._arc(t, w, self.steps)
-        return known
-
-    def _arc(self, t: int, w: int, before: int) -> bool:
-        """The same, in the automaton as it stood before gadget ``before``."""
+    def _stands(self, t: int, w: int) -> bool:
+        """Has the state after ``t`` an arc ``w``, after the gadgets so far?"""
+        born = sys.maxsize
         while True:
-            # the last gadgets that changed where t leads: a copy, or its own making
-            steps, removed = self.copies.get(t, NO_COPIES)
-            last = bisect.bisect_left(steps, before)
-            copied = steps[last - 1] if last else 0
-            made = self.made.get(t)
-            born = made[0] if made and made[0] < before else 0
-            label = self.made.get(w)
-            added = label[0] if label else 0
-            if added >= before:
-                return False
-            if not added and not copied and not born:
+            if taken := self.taken.get(t):
+                x, until = w, sys.maxsize  # x went before w was made of it, or since
+                while True:
+                    if taken.get(x, sys.maxsize) < min(born, until):
+                        return False
+                    if x not in self.made:
+                        break
+                    step, x, _ = self.made[x]
+                    until = step + 1
+            if t not in self.made:
                 return True
-            if added == copied != 0 and label[1] == label[2]:
-                return False  # of three u the first two merge: no uu after a single u
-            if added > copied and added == born:
-                t, w, before = made[2], label[1], added
-            elif added >= copied and added > born:
-                # the state stood when w's gadget ran: it got w if it had w's left part
-                w, before = label[1], added
-            elif copied > born:
-                if removed[last - 1] == w:
-                    return False
-                before = copied  # look at the state that was copied
-            else:
-                t, before = made[2], born  # uv first leads where v leads
+            born, _, t = self.made[t]  # its state began as a copy of its right part's
+
+    def _number(self, tokens: list[int]) -> None:
+        """Numbers of labels, each followed by those made of it as left part."""
+        below: dict[int, list[int]] = {}
+        for w, (_, left, _) in self.made.items():
+            below.setdefault(left, []).append(w)  # in the order of their steps
+        self.below = below
+        self.number: dict[int, int] = {}
+        self.end: dict[int, int] = {}
+        for top in tokens:
+            if top in self.made:
+                continue
+            open_ = [(top, iter(below.get(top, ())))]
+            self.number[top] = len(self.number)
+            while open_:
+                token, rest = open_[-1]
+                child = next(rest, None)
+                if child is None:
+                    self.end[token] = len(self.number)
+                    open_.pop()
+                else:
+                    self.number[child] = len(self.number)
+                    open_.append((child, iter(below.get(child, ()))))
+
+    def row(self, t: int) -> list[int]:
+        """The state after ``t``: bounds of the ranges of labels that it lacks."""
+        found = self.rows.get(t)
+        if found is None:
+            ranges, born, at = [], sys.maxsize, t
+            while True:
+                for x, step in self.taken.get(at, {}).items():
+                    if step < born:
+                        ranges.append((self.number[x], self.number[x] + 1))
+                        made = self.below.get(x, ())
+                        later = bisect.bisect_left(made, step, key=lambda w: self.made[w][0])
+                        if later < len(made):
+                            ranges.append((self.number[made[later]], self.end[x]))
+                if at not in self.made:
+                    break
+                born, _, at = self.made[at]
+            bounds: list[int] = []
+            for lo, hi in sorted(ranges):
+                if bounds and lo <= bounds[-1]:
+                    bounds[-1] = max(bounds[-1], hi)
+                else:
+                    bounds += (lo, hi)
+            found = self.rows[t] = bounds
+        return found
+
+    def allowed(self, t: int, w: int) -> bool:
+        """Has the state after ``t`` an arc labelled ``w``?"""
+        return not bisect.bisect_right(self.row(t), self.number[w]) & 1
 
     def encode_word(self, word: str) -> list[int]:
         """The ids of a pre-split word, given as symbols without the end mark."""
-        at = 0
-        n = length = len(word)
-        table, inner, final, longest = self.table, self.inner, self.final, self.max_symbols
-        tokens: list[int] = []
-        starts: list[int] = []
-        dead: set[int] = set()
-        last = -1
-        while True:
-            for size in range(length if length < longest else longest, 0, -1):
-                end = at + size
-                token = (final if end == n else inner).get(word[at:end])
-                if token is None or end in dead:
+        if word in self.final:
+            return [self.final[word]]
+        n, longest, number, rows, right = len(word), self.longest, self.number, self.rows, bisect.bisect_right
+        #: The state after each prefix, and where its last token begins.
+        states, begins = [-1] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            labels = self.final if end == n else self.inner
+            for begin in range(end - longest if end > longest else 0, end):
+                token = labels.get(word[begin:end])
+                if token is None:
                     continue
-                if last >= 0:
-                    arc = table.get(last << 32 | token)
-                    if not (self.allowed(last, token) if arc is None else arc):
+                if begin:
+                    state = states[begin]
+                    if state < 0:
                         continue
-                tokens.append(token)
-                if end == n:
-                    return tokens
-                starts.append(at)
-                at, length, last = end, n - end, token
+                    row = rows.get(state)
+                    if right(self.row(state) if row is None else row, number[token]) & 1:
+                        continue
+                states[end], begins[end] = token, begin
                 break
-            else:  # no arc leads on: this position is dead, try the next shorter label before it
-                if not tokens:
-                    raise ValueError(f"no path for {word!r}")
-                dead.add(at)
-                tokens.pop()
-                back = starts.pop()
-                length, at = at - back - 1, back
-                last = tokens[-1] if tokens else -1
+        if n and states[n] < 0:
+            raise ValueError(f"no path for {word[:80]!r}")
+        tokens, at = [], n
+        while at:
+            tokens.append(states[at])
+            at = begins[at]
+        return tokens[::-1]
+
+
+#: Fixed pattern of the vocabulary's pre-split, and its normalizers.  Under these,
+#: texts of the characters in PLAIN are their own NFC, and no word crosses the white
+#: space where ``str.split`` parts them.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PLAIN = re.compile("[\t-\r -\u012f\u0132-\u017f]*")
+
+
+def pattern_of(spec: dict) -> str:
+    """The pre-split pattern of a tokenizer file; refuses what this module doesn't do."""
+    steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    model, added = spec["model"], spec["added_tokens"]
+    plain_model = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    splits = len(steps) == 2 and steps[0]["type"] == "Split" and "Regex" in steps[0]["pattern"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
+    symbols = len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]
+    marks = not any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip", "normalized"))
+    if not (plain_model and splits and symbols and marks) or spec.get("decoder"):
+        raise ValueError("this tokenizer file is of a kind that isn't supported")
+    return steps[0]["pattern"]["Regex"]
 
 
 @functools.lru_cache(maxsize=2)
 def load_tokenizer(path: str) -> tuple:
-    """The automaton and the special tokens of a tokenizer file; one per process."""
+    """The automaton, the special tokens, the pre-split pattern, and whether the
+    shortcut for plain texts holds; one per process."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    model = spec["model"]
+    pattern, model = pattern_of(spec), spec["model"]
     merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-    return TokenizationAutomaton(model["vocab"], merges, model.get("end_of_word_suffix") or ""), special
-
-
-#: Fixed pattern of the vocabulary's pre-split.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts of these characters alone are their own NFC, and white space parts
-#: them where ``str.split`` does.
-PLAIN = re.compile("[\t-\r -\u012f\u0132-\u017f]*")
+    known = pattern == SPLIT and (spec.get("normalizer") or {}).get("normalizers") == NORMALIZERS
+    return TokenizationAutomaton(model["vocab"], merges, model.get("end_of_word_suffix") or ""), special, pattern, known
 
 
 class WordBpe:
@@ -189,60 +233,69 @@ class WordBpe:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.automaton, self.special = load_tokenizer(path)
-        self.normalizer = Tokenizer.from_file(path).normalizer
+        self.automaton, self.special, pattern, self.shortcut = load_tokenizer(path)
+        normalizer = Tokenizer.from_file(path).normalizer
+        self.normalize = normalizer.normalize_str if normalizer else str
+        self.split = regex.compile(pattern).findall
         self.symbols = byte_symbols()
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.names = self.automaton.labels | {i: t for t, i in self.special.items()}
-        self.words: dict[str, tuple[bytes, str]] = {}
+        self.words: dict[str, bytes] = {}
         self.chunks = Chunks(self)
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """A word's ids as little-endian 32-bit integers, and its labels joined by spaces."""
+    def word(self, word: str) -> bytes:
+        """A word's ids as little-endian 32-bit integers."""
         found = self.words.get(word)
         if found is None:
-            if len(self.words) > WORD_LIMIT:
-                self.words.clear()
             symbols = word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode("utf-8", "surrogatepass")])
-            ids = self.automaton.encode_word(symbols)
-            found = self.words[word] = pack(ids), " ".join([self.names[i] for i in ids])
+            found = pack(self.automaton.encode_word(symbols))
+            if len(word) <= CACHED_CHARS:
+                if len(self.words) > WORD_LIMIT:
+                    self.words.clear()
+                self.words[word] = found
         return found
 
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """The encoded words of a stretch without special tokens.
+    def stretch(self, text: str) -> bytes:
+        """The ids of a stretch without special tokens.
 
         No word crosses white space, so plain texts go chunk by chunk.
         """
-        if PLAIN.fullmatch(text):
+        if self.shortcut and PLAIN.fullmatch(text):
             chunks = self.chunks
             if len(chunks) > CHUNK_LIMIT:
                 chunks.clear()
-            return [chunks[c] for c in text.split()]
-        return [self.word(w) for w in SPLIT.findall(self.normalizer.normalize_str(text))]
+            return b"".join([chunks[c] for c in text.split()])
+        return b"".join([self.word(w) for w in self.split(self.normalize(text))])
 
-    def encode_decode(self, text: str) -> tuple[bytes, str]:
-        """Packed ids and decoded text."""
-        marks = [(m.start(), m.end()) for m in self.specials.finditer(text)] if self.specials and "<|" in text else []
+    def encode(self, text: str) -> bytes:
+        """Packed ids of a text."""
         found, at = [], 0
-        for start, end in marks:
-            token = text[start:end]
-            found += [*self.pieces(text[at:start]), (pack([self.special[token]]), token)]
-            at = end
-        found += self.pieces(text[at:] if at else text)
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+        for m in self.specials.finditer(text) if self.specials else ():
+            found += [self.stretch(text[at : m.start()]), pack([self.special[m.group()]])]
+            at = m.end()
+        return b"".join([*found, self.stretch(text[at:] if at else text)])
+
+    def decode(self, ids: bytes) -> str:
+        """The labels of packed ids, parted by spaces; unknown ids have none."""
+        names = self.names
+        try:
+            return " ".join([names[i] for i in unpack(ids)])
+        except KeyError:
+            return " ".join([names[i] for i in unpack(ids) if i in names])
 
 
 class Chunks(dict):
-    """White-space-free chunk -> its encoded words, joined."""
+    """White-space-free chunk -> the ids of its words."""
 
     def __init__(self, bpe: WordBpe):
         super().__init__()
-        self.word = bpe.word
+        self.bpe = bpe
 
-    def __missing__(self, chunk: str) -> tuple[bytes, str]:
-        found = [self.word(w) for w in SPLIT.findall(chunk.lower())]
-        out = self[chunk] = found[0] if len(found) == 1 else (b"".join([f[0] for f in found]), " ".join([f[1] for f in found]))
-        return out
+    def __missing__(self, chunk: str) -> bytes:
+        found = b"".join([self.bpe.word(w) for w in self.bpe.split(chunk.lower())])
+        if len(chunk) <= CACHED_CHARS:
+            self[chunk] = found
+        return found
 
 
 def pack(ids: list[int]) -> bytes:
@@ -252,60 +305,59 @@ def pack(ids: list[int]) -> bytes:
     return a.tobytes()
 
 
-def unpack(ids: bytes) -> list[int]:
-    a = array.array("I", ids)
+def unpack(ids: bytes) -> array.array:
+    a = array.array("I")
+    a.frombytes(ids)
     if sys.byteorder == "big":
         a.byteswap()
-    return list(a)
+    return a
 
 
-def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """id, ids (array of int) and decoded text of every row: a narrow map."""
+def sha256(data: bytes) -> str:
+    return hashlib.sha256(data).hexdigest()
+
+
+def _mapped(df: DataFrame, columns: str, row, id_col: str, value_col: str, path: str | None, kind: str = "string") -> DataFrame:
+    """A narrow map with one ``WordBpe`` a task: id, then what ``row`` gives."""
 
     def make():
         bpe = WordBpe(path or tokenizer_file("word_bpe_49k.json"))
+        return lambda ids, values: [(i, *row(bpe, v)) for i, v in zip(ids, values)]
 
-        def rows(ids, texts):
-            done = [bpe.encode_decode(t or "") for t in texts]
-            return [(i, unpack(packed), decoded) for i, (packed, decoded) in zip(ids, done)]
+    return map_texts(df, make, f"{field(df, id_col)}, {columns}", id_col, value_col, kind)
 
-        return rows
 
-    return map_texts(df, make, f"{field(df, id_col)}, ids array<int>, decoded string", id_col, text_col)
+def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """id, n_tokens, ids packed as little-endian 32-bit integers."""
 
+    def row(bpe: WordBpe, text: str | None) -> tuple:
+        packed = bpe.encode(text or "")
+        return len(packed) // 4, packed
 
-def encode_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """id, n_tokens, ids packed as little-endian 32-bit integers, decoded_sha256."""
+    return _mapped(df, "n_tokens long, ids binary", row, id_col, text_col, path)
 
-    def make():
-        bpe = WordBpe(path or tokenizer_file("word_bpe_49k.json"))
 
-        def rows(ids, texts):
-            done = [bpe.encode_decode(t or "") for t in texts]
-            return [(i, len(packed) // 4, packed, hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()) for i, (packed, decoded) in zip(ids, done)]
+def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """id, ids as an array."""
+    return _mapped(df, "ids array<int>", lambda bpe, text: (unpack(bpe.encode(text or "")).tolist(),), id_col, text_col, path)
 
-        return rows
 
-    return map_texts(df, make, f"{field(df, id_col)}, n_tokens long, ids binary, decoded_sha256 string", id_col, text_col)
+def decode_ids(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """id, decoded: the text of a column of ids, packed or an array; null for null."""
+    if df.schema[ids_col].dataType.typeName() == "array":
+        return _mapped(df.select(id_col, F.col(ids_col).cast("array<long>")), "decoded string", lambda bpe, ids: (None if ids is None else bpe.decode(pack([i for i in ids if i is not None and 0 <= i < 1 << 32])),), id_col, ids_col, path, "array<long>")
+    return _mapped(df, "decoded string", lambda bpe, ids: (None if ids is None else bpe.decode(ids),), id_col, ids_col, path, "binary")
 
 
 def encode_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """id, number and digest of the ids, digest of the decoded text.
+    """id, number and digest of the ids, digest of the text decoded from them.
 
     The digests are taken beside the encoder, so that ids of a long text never
     leave the task that made them.
     """
 
-    def make():
-        bpe = WordBpe(path or tokenizer_file("word_bpe_49k.json"))
-
-        def rows(ids, texts):
-            out = []
-            for i, t in zip(ids, texts):
-                packed, decoded = bpe.encode_decode(t or "")
-                out.append((i, len(packed) // 4, hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest()))
-            return out
-
-        return rows
+    def row(bpe: WordBpe, text: str | None) -> tuple:
+        packed = bpe.encode(text or "")
+        return len(packed) // 4, sha256(packed), sha256(bpe.decode(packed).encode("utf-8", "surrogatepass"))
 
-    return map_texts(df, make, f"{field(df, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string", id_col, text_col)
+    return _mapped(df, "n_tokens long, ids_sha256 string, decoded_sha256 string", row, id_col, text_col, path)

@@ -66,8 +66,9 @@ def text_keys(text: Column) -> list[Column]:
 
 def slices(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch of at most SLICE_ROWS rows and about SLICE_BYTES of text."""
-    size = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
-    ends = np.cumsum(size)
+    texts = batch.column(text_at)
+    length = pc.list_value_length if pa.types.is_list(texts.type) else pc.binary_length
+    ends = np.cumsum(pc.fill_null(length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, "right"))

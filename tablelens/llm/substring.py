@@ -140,21 +140,21 @@ def _described(docs: DataFrame, window: int, keep_text: bool) -> DataFrame:
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
-    """h1, h2, k1, k2, id, start of the windows whose anchor is in ``anchors``."""
+    """h1, h2, c, id, start of the windows whose anchor is in ``anchors``."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 3):
-                w = SliceWindows(part.column(3).to_pylist(), window)
+            for part in slices(batch, 2):
+                w = SliceWindows(part.column(2).to_pylist(), window)
                 a = w.anchors().view(np.int64)
-                shared = [np.isin(a[lo:hi], wanted) for lo, hi, wanted in zip(w.cuts, w.cuts[1:], part.column(4).to_pylist())]
+                shared = [np.isin(a[lo:hi], wanted) for lo, hi, wanted in zip(w.cuts, w.cuts[1:], part.column(3).to_pylist())]
                 found = np.flatnonzero(np.concatenate(shared)) if shared else np.zeros(0, np.int64)
                 owner = pa.array(w.doc[found])
                 hashes = [pa.array(w.window_hashes(k)[found].view(np.int64)) for k in (0, 1)]
-                columns = [*hashes, *(part.column(k).take(owner) for k in range(3)), pa.array(w.start[found], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "k1", "k2", "id", "start"])
+                columns = [*hashes, *(part.column(k).take(owner) for k in range(2)), pa.array(w.start[found], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "c", "id", "start"])
 
-    return texts.mapInArrow(run, f"h1 long, h2 long, k1 long, k2 long, {field(texts, 'id')}, start int")
+    return texts.mapInArrow(run, f"h1 long, h2 long, c long, {field(texts, 'id')}, start int")
 
 
 def _cut(texts: DataFrame, window: int, keep_text: bool) -> DataFrame:
@@ -195,21 +195,22 @@ def substring_dedup(df: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     key = ["k1", "k2"]
     docs = df.select(*text_keys(F.col(text_col)), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = written(_described(docs, window, keep_text))
-    classes = written(rows.groupBy(*key).agg(F.min("id").alias("id"), F.first("anchors").alias("anchors")))
+    # classes have short numbers, which the rows of their windows carry
+    classes = written(rows.groupBy(*key).agg(F.min("id").alias("id"), F.first("anchors").alias("anchors")).withColumn("c", F.monotonically_increasing_id()))
+    own = classes.drop("anchors")
 
-    # anchors of several classes; longs alone, so that tasks sum them up in place
-    held = classes.select(*key, F.explode("anchors").alias("anchor"))
-    ends = held.groupBy("anchor").agg(*(f(k).alias(f"{f.__name__}_{k}") for k in key for f in (F.min, F.max)))
-    repeated = ends.filter("min_k1 <> max_k1 OR min_k2 <> max_k2").select("anchor")
-    wanted = held.join(apart(repeated, "anchor"), "anchor").groupBy(*key).agg(F.collect_set("anchor").alias("anchors")).join(classes.select(*key, "id"), key)
+    # anchors of several classes
+    held = classes.select("c", F.explode("anchors").alias("anchor"))
+    repeated = held.groupBy("anchor").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("anchor")
+    wanted = held.join(apart(repeated, "anchor"), "anchor").groupBy("c").agg(F.collect_set("anchor").alias("anchors")).join(own, "c")
 
     texts = docs.groupBy(*key).agg(F.first("text").alias("text"))
-    windows = _windows(texts.join(wanted, key).select(*key, "id", "text", "anchors"), window)
+    windows = _windows(texts.join(wanted, key).select("c", "id", "text", "anchors"), window)
     ids = windows.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most"), F.count("id").alias("with_id"), F.count(F.lit(1)).alias("n"))
     first = ids.filter((F.col("least") < F.col("most")) | F.col("with_id").between(1, F.col("n") - 1)).select("h1", "h2", "least")
-    hits = windows.join(apart(first, "h1", "h2"), ["h1", "h2"]).filter(_smaller(F.col("least"), F.col("id"))).groupBy(*key).agg(F.collect_set("start").alias("starts"))
+    hits = windows.join(apart(first, "h1", "h2"), ["h1", "h2"]).filter(_smaller(F.col("least"), F.col("id"))).groupBy("c").agg(F.collect_set("start").alias("starts")).join(own, "c")
     cuts = _cut(texts.join(hits, key).select(*key, "text", "starts"), window, keep_text)
-    facts = written(classes.select(*key, F.col("id").alias("least")).join(cuts, key, "left"))
+    facts = written(own.select(*key, F.col("id").alias("least")).join(cuts, key, "left"))
 
     joined = rows.join(facts, key)
     copy = _smaller(F.col("least"), F.col("id")) & (F.col("n_words") >= window)
