@@ -366,14 +366,15 @@ def test_token_counts_follow_edits(spark, texts, odd, empty):
     counter, rng = tokencount.PieceCounter(), random.Random(9)
     letters = "ab  \n\n'st12.,!éß漢 "
     for t in [*list(texts.values())[:15], *("".join(rng.choices(letters, k=rng.randint(0, 400))) for _ in range(150))]:
-        tree, now = tokencount.TokenTree(t, counter), t
+        tree, now = tokencount.TokenTree.of_text(t, counter), t
         for _ in range(6):
             a = rng.randint(0, len(now))
             b = min(len(now), a + rng.choice([0, 1, 3, 50, 500]))
             new = "".join(rng.choices(letters, k=rng.choice([0, 1, 5, 300])))
             tree.edit(a, b, new)
             now = now[:a] + new + now[b:]
-            assert [p for leaf in tree.leaves for p in leaf] == counter.split(now)
+            assert [p for k in range(len(tree.leaves)) for p in tree.pieces(k)] == counter.split(now)
+            assert max(len(tree.pieces(k)) for k in range(len(tree.leaves))) <= 2 * tokencount.LEAF
             assert (tree.n_tokens, tree.n_chars, tree.n_pieces) == (len(counter.encode(now)), len(now), len(counter.split(now)))
     rows = tokencount.op9(odd).collect()
     assert len(rows) == len(ODD) and all(r.n_tokens == 0 for r in rows if r.doc_id in (1, 2))
