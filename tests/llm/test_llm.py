@@ -412,6 +412,10 @@ def test_media_rows(spark, odd, empty):
         raw = (dict((i, t) for i, t in ODD)[r.doc_id] or "").encode()
         padded = raw + b"\0" * ((max(64, -(-len(raw) // 64) * 64)) - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        x = np.frombuffer(padded, np.uint8).astype(int)
+        stored = media.write_tiff([np.frombuffer(padded, np.uint8).reshape(-1, 64)])
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r.feature == f"64x{len(x) // 64};sum={x.sum()};sq={(x * x).sum()};zeros={(x == 0).sum()};max={x.max()}" and r.error is None
     assert media.text_media(empty).collect() == []
     page = np.arange(60, dtype=np.uint8).reshape(6, 10)
     files = spark.createDataFrame([(1, bytearray(media.write_tiff([page, page[:2]]))), (2, None), (3, bytearray(b"II*\0junk"))], "id long, data binary")
