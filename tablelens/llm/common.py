@@ -113,13 +113,16 @@ def map_texts(
 
 
 class WordTable:
-    """word -> row of a float matrix, filled on a miss by ``build(word)``.
+    """word -> row of a float matrix; ``build`` makes the rows of new words.
 
-    At most ``limit`` words are held; beyond it the table starts anew, which
-    costs time and changes no result.
+    About ``limit`` words are held; beyond it the table starts anew, which costs
+    time and changes no result.
     """
 
-    def __init__(self, width: int, build: Callable[[str], np.ndarray], limit: int = 200_000):
+    #: Words looked up at a time.
+    PART = 50_000
+
+    def __init__(self, width: int, build: Callable[[list[str]], np.ndarray], limit: int = 200_000):
         self.width, self.build, self.limit = width, build, limit
         self._reset()
 
@@ -127,24 +130,28 @@ class WordTable:
         self.rows: dict[str, int] = {}
         self.data = np.zeros((1024, self.width))
 
-    def lookup(self, words: Sequence[str]) -> np.ndarray:
-        """The rows of ``words``, in order."""
+    def total(self, words: Sequence[str]) -> np.ndarray:
+        """The sum of the rows of ``words``."""
+        out = np.zeros(self.width)
+        for at in range(0, len(words), self.PART):
+            places = self._places(words[at : at + self.PART])  # may renew the data
+            out += self.data[places].sum(0)
+        return out
+
+    def _places(self, words: Sequence[str]) -> list[int]:
         if len(self.rows) > self.limit:
             self._reset()
         rows = self.rows
         try:
-            ids = [rows[w] for w in words]
+            return [rows[w] for w in words]
         except KeyError:
-            ids = [rows[w] if w in rows else self._add(w) for w in words]
-        return self.data[ids]
-
-    def _add(self, word: str) -> int:
-        at = len(self.rows)
-        if at == len(self.data):
+            new = [w for w in dict.fromkeys(words) if w not in rows]
+        at = len(rows)
+        while at + len(new) > len(self.data):
             self.data = np.concatenate([self.data, np.zeros_like(self.data)])
-        self.data[at] = self.build(word)
-        self.rows[word] = at
-        return at
+        self.data[at : at + len(new)] = self.build(new)
+        rows.update(zip(new, range(at, at + len(new))))
+        return [rows[w] for w in words]
 
 
 def splitmix(x: np.ndarray) -> np.ndarray:

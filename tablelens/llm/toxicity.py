@@ -56,9 +56,9 @@ class FactorizationMachine:
     weights: np.ndarray  # BUCKETS x (1 + FACTORS): w, then v
 
     def term_table(self) -> WordTable:
-        def build(term: str) -> np.ndarray:
-            x = self.weights[bucket(term)]
-            return np.append(x, (x[1:] ** 2).sum())
+        def build(terms: list[str]) -> np.ndarray:
+            x = self.weights[[bucket(t) for t in terms]]
+            return np.column_stack([x, (x[:, 1:] ** 2).sum(1)])
 
         return WordTable(FACTORS + 2, build)
 
@@ -66,7 +66,7 @@ class FactorizationMachine:
         terms = sorted(terms_of(text))
         z = self.bias
         if terms:
-            total = table.lookup(terms).sum(0)
+            total = table.total(terms)
             z += total[0] + ((total[1:-1] ** 2).sum() - total[-1]) / 2
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 

@@ -70,19 +70,6 @@ def test_language_accuracy_and_odd_rows(documents, odd, empty):
     assert {r.lang_pred for r in unlearned} == {"und"}
 
 
-def test_language_rejects_what_it_cannot_tell():
-    rng = np.random.default_rng(1)
-    rows = [(lang, *map(list, zip(*collections.Counter(b for w in ws for b in langid.subwords(w)).items()))) for lang, pool in (("a", ["alpha", "beta", "gamma"]), ("b", ["sierra", "tango", "victor"])) for _ in range(60) for ws in [rng.choice(pool, 12).tolist()]]
-    model = langid.train(rows)
-    table = model.word_table()
-    assert model.predict("beta gamma alpha beta", table)[0] == "a" and not model.predict("beta gamma alpha", table)[2]
-    sure = min(model.predict("beta gamma alpha", table)[1], model.predict("tango victor sierra", table)[1])
-    assert model.predict("alpha tango beta sierra gamma victor", table)[1] < sure
-    strange = model.predict("zzz qqq xjx", table)
-    assert strange[1] < sure and strange[2] == (strange[1] < model.threshold)
-    assert 0 < model.threshold <= langid.SURE
-
-
 # 2 secrets
 
 
