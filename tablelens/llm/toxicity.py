@@ -1,15 +1,28 @@
 """Toxicity: a factorization machine over hashed terms.
 
-score = sigmoid(w0 + sum w_i + sum over pairs <v_i, v_j>) over the distinct
-terms of a text.  The factors learn which terms are toxic together, such as an
-insult with the mention of a group, that a linear model has to rate alone.  The
-pair sum is linear in the terms: (|sum v|^2 - sum |v|^2) / 2, so a text costs one
-addition per distinct term.
+z = w0 + sum w_i + sum over pairs <v_i, v_j> over the distinct terms of a text.
+The factors learn which terms are toxic together, such as an insult with the
+mention of a group, that a linear model has to rate alone.  The pair sum is linear
+in the terms: (|sum v|^2 - sum |v|^2) / 2, so a text costs one addition per
+distinct term.
+
+Most terms of long texts carry noise only.  So w and v shrink apart, each by a
+multiple of what chance makes of a term's gradient: that falls with the root of
+the number of texts that hold the term, and for v grows with the other factors of
+the text.  The factors start as large as their noise allows.  A second model
+without pairs is trained beside; texts kept out of both decide, so pairs stay
+only where they help.
+
+The score is sigmoid(z + shift): kept-out texts also place the cut ``CUT`` where it
+has the most toxic texts over it, a clean one over it costing ``CLEAN_COST``.  The
+score orders texts and is cut at ``CUT``; it is no calibrated probability.
 
 Defined cases: a null or empty text gives the score of the bias alone, far
 below 0.7; without labels of both kinds every score is the share of toxic
 labels, 0 where there is none; several labels of one document count as their
-largest; repeated rows give repeated results.
+largest; documents that share an id share its label; a very long text counts its
+distinct terms; an empty table gives an empty one; repeated rows give repeated
+results; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -27,16 +40,20 @@ from .langid import labelled_sample
 
 BUCKETS = 1 << 16
 FACTORS = 4
-EPOCHS = 8
+#: Passes over the training texts, and over what shrinkage has left, hardly shrunk.
+EPOCHS, REFIT, REFIT_SHRINK = 8, 6, 0.1
 #: Bound of the training sample: texts of each label.
 TEXTS_PER_LABEL = 2500
 #: Terms in fewer training texts than this keep weight 0.
-MIN_TEXTS = 8
+MIN_TEXTS = 5
 CUT = 0.7
-#: Strength of the shrinkage that keeps terms without bearing at weight 0.
-L1 = 0.3
-REFIT, REFIT_SHRINK = 6, 0.1
-#: Share of the sample that only places the cut, and what a clean text over it costs.
+#: Shrinkage of w and of v, in deviations of a term's gradient by chance.
+SHRINK_W, SHRINK_V = 2.0, 2.0
+RATE_W, RATE_V = 0.2, 0.05
+#: Variance of the pair sum of an average text that the factors start with.
+START = 0.2
+#: Share of the sample that chooses the model and places the cut, and what a clean
+#: text over it costs.
 KEPT_OUT, CLEAN_COST = 0.25, 20
 
 TERM = re.compile(r"\w+")
@@ -71,30 +88,35 @@ class FactorizationMachine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def train(samples: list[tuple[int, list[int]]], seed: int = 11, rate: float = 0.2, shrink: float = L1) -> FactorizationMachine:
-    """Proximal AdaGrad over single texts; ``samples``: label, distinct term buckets.
+def logits(bias: float, weights: np.ndarray, rows: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    out = []
+    for _, f in rows:
+        x = weights[f]
+        out.append(bias + x[:, 0].sum() + ((x[:, 1:].sum(0) ** 2).sum() - (x[:, 1:] ** 2).sum()) / 2)
+    return np.array(out)
 
-    A term whose share in toxic texts is what it is in others carries noise
-    only; shrinking every term's whole row (w and v together) towards zero
-    leaves the terms that matter, however long a text is.
-    """
-    weights = np.zeros((BUCKETS, 1 + FACTORS))
-    labels = np.array([y for y, _ in samples])
-    if not len(labels) or labels.min() == labels.max():
-        p = float(labels.mean()) if len(labels) else 0.0
-        return FactorizationMachine(float(np.log(max(p, 1e-9) / max(1 - p, 1e-9))), weights)
+
+def log_loss(z: np.ndarray, y: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(y == 1, -z, z)).mean())
+
+
+def descend(rows: list[tuple[int, np.ndarray]], pairs: bool, seed: int) -> tuple[float, np.ndarray]:
+    """Proximal AdaGrad over single texts: bias and weights."""
     rng = np.random.default_rng(seed)
-    texts = np.bincount(np.concatenate([f for _, f in samples if f] or [[0]]).astype(int), minlength=BUCKETS)
-    usable = texts >= MIN_TEXTS
-    rows = [(y, a[usable[a]]) for y, f in samples for a in [np.array(f, int)]]
-    apart = rng.random(len(rows)) < KEPT_OUT
-    judges, rows = [r for r, k in zip(rows, apart) if k] or rows, [r for r, k in zip(rows, apart) if not k] or rows
-    weights[usable, 1:] = rng.normal(0, 0.01, (usable.sum(), FACTORS))
-    bias, seen_b, seen = -3.0, 1.0, np.full_like(weights, 0.05)
+    texts = np.bincount(np.concatenate([f for _, f in rows]), minlength=BUCKETS)
+    p = float(np.clip(np.mean([y for y, _ in rows]), 1e-6, 1 - 1e-6))
+    noise = np.sqrt(p * (1 - p) / np.maximum(texts, 1))
+    weights = np.zeros((BUCKETS, 1 + FACTORS))
+    if pairs:
+        usable = texts > 0
+        spread = np.sqrt(START / max(1.0, np.mean([len(f) for _, f in rows])))
+        weights[usable, 1:] = rng.normal(0, spread, (usable.sum(), FACTORS))
+    bias, seen_b, seen = float(np.log(p / (1 - p))), 1.0, np.full_like(weights, 0.05)
+    rates = np.array([RATE_W] + [RATE_V] * FACTORS)
     for epoch in range(EPOCHS + REFIT):
-        if epoch == EPOCHS:  # what is left is fitted anew, hardly shrunk
+        if epoch == EPOCHS:
             alive = np.abs(weights).sum(1) > 0
-            rows, shrink = [(y, f[alive[f]]) for y, f in rows], shrink * REFIT_SHRINK
+            rows, noise = [(y, f[alive[f]]) for y, f in rows], noise * REFIT_SHRINK
         for k in rng.permutation(len(rows)):
             y, f = rows[k]
             x = weights[f]
@@ -102,28 +124,49 @@ def train(samples: list[tuple[int, list[int]]], seed: int = 11, rate: float = 0.
             z = bias + x[:, 0].sum() + ((total**2).sum() - (x[:, 1:] ** 2).sum()) / 2
             g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
             seen_b += g * g
-            bias -= rate * g / np.sqrt(seen_b)
-            if len(f):
-                grad = np.concatenate([np.full((len(f), 1), g), g * (total - x[:, 1:])], axis=1)
-                seen[f] += grad**2
-                step = rate / np.sqrt(seen[f])
-                x = x - step * grad
-                size = np.sqrt((x**2).sum(1, keepdims=True)) + 1e-12
-                weights[f] = x * np.maximum(0, 1 - shrink * step[:, :1] / size)
+            bias -= RATE_W * g / np.sqrt(seen_b)
+            if not len(f):
+                continue
+            grad = np.empty_like(x)
+            grad[:, 0] = g
+            grad[:, 1:] = g * (total - x[:, 1:])
+            seen[f] += grad**2
+            step = rates / np.sqrt(seen[f])
+            x = x - step * grad
+            x[:, 0] = np.sign(x[:, 0]) * np.maximum(0, np.abs(x[:, 0]) - SHRINK_W * noise[f] * step[:, 0])
+            if pairs:  # the factors of a term shrink together
+                size = np.sqrt((x[:, 1:] ** 2).sum(1)) + 1e-12
+                chance = SHRINK_V * noise[f] * np.sqrt((total**2).sum()) * np.sqrt((step[:, 1:] ** 2).mean(1))
+                x[:, 1:] *= np.maximum(0, 1 - chance / size)[:, None]
+            weights[f] = x
+    return bias, weights
+
+
+def train(samples: list[tuple[int, list[int]]], seed: int = 11, pairs: bool | None = None) -> FactorizationMachine:
+    """``samples``: label, distinct term buckets.  ``pairs``: with or without; both
+    are tried and the kept-out texts choose, unless it is given."""
+    labels = np.array([y for y, _ in samples])
+    if not len(labels) or labels.min() == labels.max():
+        p = float(labels.mean()) if len(labels) else 0.0
+        return FactorizationMachine(float(np.log(max(p, 1e-9) / max(1 - p, 1e-9))), np.zeros((BUCKETS, 1 + FACTORS)))
+    texts = np.bincount(np.concatenate([f for _, f in samples if f] or [[0]]).astype(int), minlength=BUCKETS)
+    usable = texts >= MIN_TEXTS
+    rows = [(y, a[usable[a]]) for y, f in samples for a in [np.array(f, int)]]
+    apart = np.random.default_rng(seed).random(len(rows)) < KEPT_OUT
+    judges, rows = [r for r, k in zip(rows, apart) if k] or rows, [r for r, k in zip(rows, apart) if not k] or rows
+    y = np.array([y for y, _ in judges])
+    found = [descend(rows, with_pairs, seed) for with_pairs in ([True, False] if pairs is None else [pairs])]
+    bias, weights = min(found, key=lambda m: log_loss(logits(*m, judges), y))
     return FactorizationMachine(bias + aligned(bias, weights, judges), weights)
 
 
 def aligned(bias: float, weights: np.ndarray, rows: list[tuple[int, np.ndarray]]) -> float:
     """How far to move the bias so that ``CUT`` parts texts best that weren't trained on.
 
-    Shrinkage leaves weights smaller than the evidence.  The best cut has the
-    most toxic texts over it, each clean one over it costing ``CLEAN_COST``.
+    The best cut has the most toxic texts over it, each clean one over it costing
+    ``CLEAN_COST``.
     """
-    z = []
-    for _, f in rows:
-        x = weights[f]
-        z.append(bias + x[:, 0].sum() + ((x[:, 1:].sum(0) ** 2).sum() - (x[:, 1:] ** 2).sum()) / 2)
-    z, y = np.array(z), np.array([y for y, _ in rows])
+    z, y = logits(bias, weights, rows), np.array([y for y, _ in rows])
     order = np.argsort(-z, kind="stable")
     gain = np.cumsum(np.where(y[order] == 1, 1, -CLEAN_COST))
     gain[:-1][z[order][:-1] == z[order][1:]] = -len(z) * CLEAN_COST  # no cut between equal values
