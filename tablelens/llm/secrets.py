@@ -3,13 +3,21 @@
 A random string costs many tokens for its length: natural words and identifiers
 reach three to five characters per token of a byte-pair vocabulary, random ones
 stay below two.  Candidates are runs of key characters outside the spans that
-the known shapes give (what is left of a run that they touch is tested alone);
-digests written as such and identifiers are left out.  Letters in one case are a
-name only if they are few or read like words, that is, cost few tokens.
+the known shapes give (what is left of a run that they touch is tested alone), of
+``SHORTEST`` characters or more: base spans of values begin at 12 and 16, and under
+16 the ratio of names and of random strings overlap.  Digests of the right length
+and identifiers are left out.  Letters in one case are a name only if they are few
+or read like words, that is, cost few tokens; long rare words and random letters look
+alike under 20.
+
+Lower-case digests of 16 digits or more are spans all the same, of kind ``hex``, and
+``redact_secrets`` masks them with the others.
 
 Defined cases: a null text counts as empty and gives no span; an empty text
-gives none; repeated rows give repeated results; a span is measured in code
-points, end exclusive.
+gives none; a very long text is scanned whole, in time proportional to it; a span is
+measured in code points, end exclusive; spans that start together come in the order
+of their kinds; repeated rows give repeated results; an empty table gives an empty
+one; other columns, whatever their names, pass through or are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +29,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, map_texts
+from .common import field, map_texts, slices
 
 KINDS = ("assign", "access", "hex", "random")
 
@@ -31,21 +39,33 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 16
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
-#: Digests in upper case or behind the name of their algorithm.
-DIGEST = re.compile(r"(?:md5|sha1|sha224|sha256|sha384|sha512)[-_=/]?[A-Za-z0-9+/=]+|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|[0-9A-F]{128}", re.I)
+#: Bytes of the digests of known algorithms.
+DIGEST_BYTES = {"md5": 16, "sha1": 20, "sha224": 28, "sha256": 32, "sha384": 48, "sha512": 64}
 
 #: Fewer characters per token than this mark a random string.
 MAX_CHARS_PER_TOKEN = 2.2
 #: Candidates need at least so many distinct characters: a row of dashes or a
 #: repeated word is no secret.
 MIN_DISTINCT = 10
-#: Letters in one case that are a name at any cost in tokens, and the length from
+#: A part of so few letters in one case is a name at any cost in tokens; a whole run
+#: of letters in one case is one under ``LONG_PART``, which is also the length from
 #: which a part that is no name is tested apart from its run.
 SHORT_NAME, LONG_PART = 8, 20
 
 
+def digest_pattern() -> str:
+    """Digests behind the name of their algorithm, hexadecimal or in base 64, or in
+    hexadecimal alone; each of its algorithm's length."""
+    named = [rf"{name}[-_=/]?(?:[0-9a-f]{{{2 * n}}}|[A-Za-z0-9+/]{{{-(-8 * n // 6)}}}={{0,{-n % 3}}})" for name, n in DIGEST_BYTES.items()]
+    return "|".join(named + [rf"[0-9a-f]{{{2 * n}}}" for n in DIGEST_BYTES.values()])
+
+
+DIGEST = re.compile(digest_pattern(), re.IGNORECASE)
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -79,17 +99,22 @@ def parts_of(run: str) -> list[str]:
     return [p for p in re.split(r"[+/_=-]+", run) if p]
 
 
+def one_case(part: str) -> bool:
+    """Letters in lower case, capitalised or in upper case."""
+    return part.isalpha() and (part[1:].islower() or part.isupper() or len(part) < 3)
+
+
 def wordlike(part: str, enc, max_ratio: float) -> bool:
-    """Letters in lower case, capitalised or in upper case, few or of ordinary cost."""
-    if not (part.isalpha() and (part[1:].islower() or part.isupper() or len(part) < 3)):
-        return False
-    return len(part) < SHORT_NAME or max(chars_per_token(part, enc), chars_per_token(part.lower(), enc)) >= max_ratio
+    """Letters in one case, few or of ordinary cost."""
+    return one_case(part) and (len(part) < SHORT_NAME or max(chars_per_token(part, enc), chars_per_token(part.lower(), enc)) >= max_ratio)
 
 
 def known_identifier(run: str, enc, max_ratio: float = MAX_CHARS_PER_TOKEN) -> bool:
     """Digests, UUIDs, plain numbers, and names or paths made of words."""
     if UUID.fullmatch(run) or DIGEST.fullmatch(run) or not re.search(r"[A-Za-z]", run):
         return True
+    if len(run) < LONG_PART and one_case(run):
+        return True
     return all(wordlike(p, enc, max_ratio) for p in parts_of(run))
 
 
@@ -164,10 +189,11 @@ def redact_secrets(df: DataFrame, text_col: str = "text", vocabulary: str | None
         enc = encoding(vocabulary)
         schema = to_arrow_schema(out)
         for batch in batches:
-            texts = [t and redact(t, find_spans(t, enc, max_ratio)) for t in batch.column(at).to_pylist()]
-            columns = batch.columns
-            columns[at] = pa.array(texts, type=schema.field(at).type)
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
+            for part in slices(batch, at):
+                texts = [t and redact(t, find_spans(t, enc, max_ratio)) for t in part.column(at).to_pylist()]
+                columns = part.columns
+                columns[at] = pa.array(texts, type=schema.field(at).type)
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return df.mapInArrow(run, out)
 
