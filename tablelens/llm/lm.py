@@ -10,11 +10,15 @@ vocabulary and an unknown word.  A text is one traversal from left to right.
 
 Counts come from all training documents (see ``blocks``): a block gets those of
 its own n-grams, and so builds the part of the automaton that its texts can
-reach.  N-grams are told apart by 64-bit hashes.
+reach.  N-grams are told apart by 64-bit hashes: among n distinct ones two are
+taken for one with probability n^2 / 2^65, which would add up their counts.
 
 Defined cases: a null text is an empty one and has one token, its end; without
-any training document all counts are 0 and every token costs log10(1 / 1) = 0;
-repeated rows count and score as rows.
+any training document all counts are 0 and every token costs log10(1 / 1) = 0; a
+very long text is one document of its block; ids of any type pass through, null and
+repeated ones too; rows of one id and text share a block; repeated rows count and
+score as rows; an empty table gives an empty one; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
@@ -26,13 +30,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .blocks import PACKED, Answer, BlockWords, answered, block_entries, collected, merged_answers, split_words, to_buckets, with_block
-from .common import block_count, crc_bucket, splitmix
+from .blocks import PACKED, Answer, BlockWords, answered, block_entries, collected, merged_answers, runs_of, split_words, to_buckets, with_block
+from .common import block_count, crc_bucket, field, splitmix
 
 MU = 500.0
-#: Text bytes of a block: its automaton takes about forty times that in a task.
-BLOCK_TEXT = 5 << 20
+#: Text bytes of a block, whose automaton takes about forty times that in a task,
+#: and text bytes whose entries make a bucket.
+BLOCK_TEXT, BUCKET_TEXT = 5 << 20, 10 << 20
 #: Distinct words that a task counts before it sends them on.
 FLUSH_WORDS = 400_000
 END = np.uint64(0x6A09E667F3BCC909)
@@ -131,7 +138,7 @@ def training_totals(df: DataFrame, train: Column, text_col: str, n_buckets: int)
 
     def merge(key, table):
         h, c, _, _ = collected(table)
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
+        starts = runs_of(h)[:-1]
         seen = np.add.reduceat(c, starts) if len(starts) else c
         return pa.table({"n": pa.array([int(seen.sum())], pa.int64()), "v": pa.array([int((seen > 0).sum())], pa.int64())})
 
@@ -144,8 +151,8 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     """id, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and
     score (the automaton) of every row; learned from the rows where ``train``.
     """
-    n = block_count(df, text_col, BLOCK_TEXT)
-    blocks = with_block(df, n, id_col, text_col, F.coalesce(train, F.lit(False)).alias("train"))
+    n_blocks, n = (block_count(df, text_col, size) for size in (BLOCK_TEXT, BUCKET_TEXT))
+    blocks = with_block(df, n_blocks, id_col, text_col, F.coalesce(train, F.lit(False)).alias("train"))
     total, vocabulary = training_totals(df, train, text_col, n)
 
     def entries(docs: pa.Table):
@@ -157,7 +164,8 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         others = (np.add.reduceat(counts, starts)[runs] if len(starts) else counts) - counts
         return others > 0, others
 
-    out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+    out = f"{field(blocks, 'id')}, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    schema = T.StructType.fromDDL(out)
 
     def finish(docs: pa.Table, answer: Answer) -> pa.Table:
         g = BlockGrams(docs)
@@ -170,10 +178,10 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
         base = np.add.reduceat(automaton.unigram_arcs[g.ids], g.starts[:-1]) if docs.num_rows else np.zeros(0)
         known = np.add.reduceat((unigrams > 0)[g.ids].astype(np.int64), g.starts[:-1]) if docs.num_rows else np.zeros(0, np.int64)
         scores = [automaton.score(g.ids[a:b].tolist(), g.end) for a, b in zip(g.starts, g.starts[1:])]
-        return pa.Table.from_arrays([docs["id"].combine_chunks().cast(pa.int64()), pa.array(np.diff(g.starts)), pa.array(known), pa.array([total] * docs.num_rows, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())], schema=out)
+        return pa.Table.from_arrays([docs["id"], pa.array(np.diff(g.starts)), pa.array(known), pa.array([total] * docs.num_rows, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64())], schema=to_arrow_schema(schema))
 
     answers = merged_answers(block_entries(blocks, entries, n), merge)
-    return answered(blocks, answers, finish, n, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("id", id_col)
+    return answered(blocks, answers, finish, n, out).withColumnRenamed("id", id_col)
 
 
 def op3(docs: DataFrame) -> DataFrame:

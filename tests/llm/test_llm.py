@@ -285,8 +285,9 @@ def test_substring_dedup_against_brute_force(spark, odd, empty):
 
 def test_packing_round_trips():
     x = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 1000, np.int64).astype(np.uint64) * 2)
-    assert (blocks.unpack_sorted(blocks.pack_sorted(x)) == x).all()
-    assert len(blocks.unpack64(blocks.pack64(x[:0]))) == 0
+    for n in (0, 1, blocks.FEW - 1, blocks.FEW, 1000):
+        assert (blocks.unpack_sorted(blocks.pack_sorted(x[:n]), n) == x[:n]).all()
+        assert (blocks.unpack64(blocks.pack64(x[:n]), n) == x[:n]).all()
 
 
 # 8 BPE
