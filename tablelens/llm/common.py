@@ -49,6 +49,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, longer where a column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def apart(summary: DataFrame, *keys: str) -> DataFrame:
     """A summary by ``keys`` (longs) that a join with its table shuffles anew.
 

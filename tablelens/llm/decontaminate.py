@@ -3,35 +3,40 @@
 An item's windows are its runs of ``WINDOW`` words (the whole item, if it has
 fewer).  A text holds a window if it holds all shingles of it in place, so the
 necessary prefix of a window is a single shingle: the rarest, under a global
-order by benchmark frequency, then longest first.  Texts keep only positions
-whose shingle is such a prefix, each with the words around it; these join the
-windows on the shingle's hash, positional and length bounds place the window,
-and the words themselves are compared.
-
-The prefixes are a literal set in the scan's projection and the windows a
-broadcast side.  Both are bounded: the benchmark is cut into chunks of at most
-``CHUNK`` windows, each with its own pass over the texts, so a larger benchmark
-costs passes and no memory.
-
-Defined cases: null and empty texts or items have no words and hit nothing;
-items of equal text all count; every row gives one result row, repeated ones and
-null ids too; ids of items sort as strings; an empty benchmark hits nothing.
+order by the number of documents that hold it, then by the benchmark's.
+
+Documents are read twice, whatever the benchmark's size.  Shingles of the benchmark
+set bits in an array of at most 2^``MOST_BITS`` bits, which a scan tests (a wrong
+bit costs a look-up and no result).  The first scan counts in how many documents
+those shingles stand; the second keeps positions that may hold a window's prefix,
+each with the words around it.  These join the windows on the prefix, positional
+and length bounds place the window, and the words themselves are compared.  Joins
+carry no hints: Spark broadcasts a side under its own size limit and splits hot
+keys beyond it.
+
+Defined cases: null and empty texts or items have no words and hit nothing; a very
+long text is one row of words; items of equal text all count; every row gives one
+result row, repeated ones and null ids too; ids of items sort as strings; an empty
+benchmark hits nothing, and empty documents give an empty table; other columns,
+whatever their names, pass through or are not read.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import A_TO_Z
+from .common import A_TO_Z, free_name, written
 
 WINDOW = 10
 #: Words of a shingle; windows of fewer words use single words.
 SHINGLE = 3
-CHUNK = 20_000
+#: Bits for each shingle in the array that a scan tests, and its largest size (8 MB).
+BITS_EACH, MOST_BITS = 32, 26
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SPANS = "array<struct<start:int,end:int>>"
 
 
 def words_of(text: Column) -> Column:
@@ -45,56 +50,88 @@ def words_of(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """item_id, words of the window, and its rarest shingle: off (from 0), h."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), words_of(F.col(text_col).cast("string")).alias("w")).filter(F.size("w") > 0).distinct()
-    starts = F.expr(f"sequence(0, greatest(size(w) - {window}, 0))")
-    windows = items.select("item_id", F.col("w").alias("item"), F.explode(starts).alias("at")).select("item_id", F.slice("item", F.col("at") + 1, window).alias("words")).distinct()
-    shingles = windows.select("item_id", "words", F.explode(F.expr(f"sequence(0, if(size(words) >= {SHINGLE}, size(words) - {SHINGLE}, size(words) - 1))")).alias("off")).withColumn("h", F.expr(f"if(size(words) >= {SHINGLE}, {_shingle('words', 'off')}, xxhash64(words[off]))"))
-    shingles = shingles.withColumn("length", F.expr(f"char_length(array_join(slice(words, off + 1, {SHINGLE}), ' '))"))
-    counts = shingles.groupBy("h").agg(F.count("*").alias("n"))
-    return shingles.join(counts, "h").groupBy("item_id", "words").agg(F.min_by(F.struct("off", "h"), F.struct("n", -F.col("length"), "h", "off")).alias("prefix")).select("item_id", "words", "prefix.off", "prefix.h")
+    """item_id and the words of its windows, each once, with 128 bits that name them."""
+    items = benchmark.select(F.col(id_col).cast("string").alias("item_id"), words_of(F.col(text_col).cast("string")).alias("item")).filter(F.size("item") > 0).distinct()
+    starts = F.expr(f"sequence(0, greatest(size(item) - {window}, 0))")
+    windows = items.select("item_id", "item", F.explode(starts).alias("at")).select("item_id", F.slice("item", F.col("at") + 1, window).alias("w")).distinct()
+    return windows.select("item_id", "w", *(F.xxhash64(F.lit(k), "w").alias(f"w{k}") for k in (1, 2)))
 
 
-def _shingle(words: str, at: str) -> str:
+def shingle_at(words: str, at: str) -> str:
     return "xxhash64(" + ", ".join(f"get({words}, {at} + {k})" for k in range(SHINGLE)) + ")"
 
 
-def _candidates(long_hashes: list[int], short_hashes: list[int], window: int) -> Column:
-    """Of an array of words ``ws``: n_words, and the positions (from 1) of prefixes with the words around."""
-    tests = []
-    if long_hashes:
-        tests.append((f"p + {SHINGLE - 1} < size(ws) AND {_shingle('ws', 'p')} IN ({', '.join(f'{h}L' for h in long_hashes)})", _shingle("ws", "p")))
-    if short_hashes:
-        tests.append((f"p >= 0 AND p < size(ws) AND xxhash64(get(ws, p)) IN ({', '.join(f'{h}L' for h in short_hashes)})", "xxhash64(get(ws, p))"))
-    first = f"greatest(p - {window - 2}, 1)"
-    found = [f"transform(filter(sequence(0, size(ws) - 1), p -> p >= 0 AND {test}), p -> struct(p + 1 AS pos, {h} AS h, {first} AS first, slice(ws, {first}, {2 * window}) AS around))" for test, h in tests]
-    return F.expr(f"transform(array(words), ws -> struct(size(ws) AS n_words, {'concat(' + ', '.join(found) + ')'} AS found))[0]")
+def window_shingles(windows: DataFrame) -> DataFrame:
+    """w, w1 and w2 of every distinct window, and its shingles: off (from 0), h,
+    length in characters."""
+    starts = F.expr(f"sequence(0, if(size(w) >= {SHINGLE}, size(w) - {SHINGLE}, size(w) - 1))")
+    each = windows.select("w1", "w2", "w").distinct().select("*", F.explode(starts).alias("off"))
+    return each.select("*", F.expr(f"if(size(w) >= {SHINGLE}, {shingle_at('w', 'off')}, xxhash64(w[off]))").alias("h"), F.expr(f"char_length(array_join(slice(w, off + 1, {SHINGLE}), ' '))").alias("length"))
+
+
+def bits_of(hashes: DataFrame, most_bits: int) -> tuple[Column, int]:
+    """An array of 2^log longs, as a scalar subquery, with a bit set for every ``h``; and log."""
+    hashes = hashes.select("h").distinct()
+    log = min(max(7, math.ceil(math.log2(max(1, hashes.count()) * BITS_EACH))), most_bits) - 6
+    words = hashes.groupBy(F.shiftrightunsigned("h", 64 - log).cast("int").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    every = hashes.sparkSession.range(0, 1 << log, 1, 1).select(F.col("id").cast("int").alias("k"))
+    full = every.join(words, "k", "left").select(F.struct("k", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    return full.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.bits)).scalar(), log
 
 
-def find_benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, chunk: int = CHUNK) -> DataFrame:
+def positions(texts: DataFrame, hashes: DataFrame, short: bool, most_bits: int, result: str) -> DataFrame:
+    """``texts`` with ``found``: ``result`` for every position whose shingle may be in
+    ``hashes``, and for every such word, if ``short``; and n_words.
+
+    ``result`` is SQL over v.ws (the words), p (a position from 0) and {h} (the hash).
+    """
+    bits, log = bits_of(hashes, most_bits)
+    kinds = [(shingle_at("v.ws", "p"), f"p + {SHINGLE - 1} < size(v.ws)")] + [("xxhash64(get(v.ws, p))", "p < size(v.ws)")] * short
+    test = f"getbit(get(v.bits, cast(shiftrightunsigned({{h}}, {64 - log}) as int)), cast({{h}} & 63 as int)) = 1"
+    found = [f"transform(filter(sequence(0, size(v.ws) - 1), p -> p >= 0 AND {inside} AND {test.format(h=h)}), p -> {result.format(h=h)})" for h, inside in kinds]
+    # words and bits are bound once, as one value that the text refers to; no row of
+    # the plan carries the bits, as both projections become one
+    bound = texts.select("*", bits.alias("__bits"))
+    once = f"transform(array(struct(words AS ws, __bits AS bits)), v -> struct(size(v.ws) AS n_words, concat({', '.join(found)}) AS found))[0]"
+    return bound.select(*(c for c in texts.columns if c != "words"), F.expr(once).alias("x"))
+
+
+def find_benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_bits: int = MOST_BITS) -> DataFrame:
     """id, n_words, n_hit (words inside any occurrence of a window), items (ids
     with occurring windows, sorted as strings), spans (start, end; from 1)."""
-    windows = benchmark_windows(benchmark, item_id_col, item_text_col, window)
-    n = windows.count()
+    held = written(benchmark_windows(benchmark, item_id_col, item_text_col, window))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("same"), words_of(F.col(text_col).cast("string")).alias("words"))
-    if not n:
-        return texts.select(F.col("id").alias(id_col), F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-    chunks = -(-n // chunk)
-    hits = []
-    for k in range(chunks):
-        part = windows.filter(F.pmod(F.xxhash64("words"), F.lit(chunks)) == k) if chunks > 1 else windows
-        hashes = part.groupBy("h").agg(F.max(F.size("words") >= SHINGLE).alias("long"), F.min(F.size("words") >= SHINGLE).alias("all_long")).collect()  # at most about ``chunk`` rows
-        found = _candidates([r.h for r in hashes if r.long], [r.h for r in hashes if not r.all_long], window)
-        if not hashes:
-            continue
-        # the first pass has one null candidate a row, which counts the row
-        marked = F.col("x.found") if hits else F.concat(F.array(F.lit(None)), F.col("x.found"))
-        rows = texts.select("id", "same", found.alias("x")).select("id", "same", "x.n_words", F.explode(marked).alias("c"), F.lit(not hits).alias("first_pass")).select("id", "same", "n_words", "c.*", (F.col("first_pass") & F.col("c").isNull()).cast("long").alias("copy"))
-        start = F.col("pos") - F.col("off")
-        placed = (start >= 1) & (start + F.size("w") - 1 <= F.col("n_words")) & (F.slice("around", F.greatest(start - F.col("first") + 1, F.lit(1)), F.size("w")) == F.col("w"))
-        side = F.broadcast(part.select("h", F.col("off"), F.col("words").alias("w"), "item_id"))
-        hits.append(rows.join(side, (rows.h == side.h) & placed, "left").select("id", "same", "n_words", F.when(F.col("w").isNotNull(), F.struct(start.cast("int").alias("start"), (start + F.size("w") - 1).cast("int").alias("end"))).alias("span"), "item_id", "copy"))
-    grouped = reduce(DataFrame.unionByName, hits).groupBy("id", "same", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"), F.sum("copy").cast("int").alias("copies"))
+    sizes = held.agg(F.count("*").alias("n"), F.min(F.size("w")).alias("least")).first()
+    if not sizes.n:
+        return texts.select(F.col("id").alias(id_col), F.size("words").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast(SPANS).alias("spans"))
+    short = sizes.least < SHINGLE
+
+    # the prefix of every window: its rarest shingle
+    shingles = window_shingles(held)
+    seen = positions(texts.select("words"), shingles, short, most_bits, "{h}").select(F.explode(F.array_distinct("x.found")).alias("h"))
+    spread = seen.groupBy("h").agg(F.count("*").alias("docs"))
+    common = shingles.groupBy("h").agg(F.count("*").alias("windows")).join(spread, "h", "left")
+    order = F.struct(F.coalesce("docs", F.lit(0).cast("long")), "windows", -F.col("length"), "h", "off")
+    prefixes = written(shingles.join(common, "h").groupBy("w1", "w2").agg(F.min_by(F.struct("w", "off", "h"), order).alias("x")).select("w1", "w2", "x.*"))
+
+    # positions of prefixes, and a null one for every row, which counts the row; null
+    # keys are spread
+    first = f"greatest(p - {window - 2}, 1)"
+    candidates = positions(texts, prefixes, short, most_bits, f"struct(p + 1 AS pos, {{h}} AS h, {first} AS first, slice(v.ws, {first}, {2 * window}) AS around)")
+    rows = candidates.select("id", "same", "x.n_words", F.explode(F.concat(F.array(F.lit(None)), F.col("x.found"))).alias("c"))
+    rows = rows.select("id", "same", "n_words", F.col("c").isNull().cast("long").alias("copy"), F.coalesce("c.h", F.xxhash64("id", "same", "n_words")).alias("h"), "c.pos", "c.first", "c.around")
+    start = F.col("pos") - F.col("off")
+    end = start + F.size("w") - 1
+    placed = (start >= 1) & (end <= F.col("n_words")) & (F.slice("around", F.greatest(start - F.col("first") + 1, F.lit(1)), F.size("w")) == F.col("w"))
+    side = prefixes.select(F.col("h").alias("ph"), "off", "w", "w1", "w2")
+    span = F.when(F.col("w").isNotNull(), F.struct(start.cast("int").alias("start"), end.cast("int").alias("end")))
+    hits = rows.join(side, (F.col("h") == F.col("ph")) & placed, "left").select("id", "same", "n_words", "copy", span.alias("span"), F.coalesce("w1", F.xxhash64("same", "id")).alias("k1"), F.col("w2").alias("k2"))
+
+    # the items of the windows that occur
+    owners = held.select(F.col("w1").alias("o1"), F.col("w2").alias("o2"), "item_id")
+    named = hits.join(owners, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")), "left")
+    # a hit has a row for each item of its window, a row's count its own
+    grouped = named.groupBy("id", "same", "n_words").agg(F.array_sort(F.collect_set("span")).alias("spans"), F.array_sort(F.collect_set("item_id")).alias("items"), F.sum("copy").cast("int").alias("copies"))
     grouped = grouped.withColumn("copy", F.explode(F.array_repeat(F.lit(True), F.col("copies"))))
     covered = F.expr("aggregate(spans, struct(0L AS n, 0 AS last), (a, s) -> struct(a.n + greatest(0, s.end - greatest(a.last, s.start - 1)) AS n, greatest(a.last, s.end) AS last), a -> a.n)")
     return grouped.select(F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), "items", "spans")
@@ -105,9 +142,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     Rows are matched by the SHA-256 digest of their text, which a hit always has.
     """
-    digest = F.sha2(docs[text_col].cast("string").cast("binary"), 256)
-    hit = find_benchmark_hits(docs.select(digest.alias("digest"), docs[text_col].alias("text")), benchmark, "digest", "text").filter(F.col("n_hit") > 0).select(F.col("digest").alias("__hit")).distinct()
-    return docs.join(hit, digest == F.col("__hit"), "left_anti")
+    digest, name = F.sha2(docs[text_col].cast("string").cast("binary"), 256), free_name(docs, "__hit")
+    hit = find_benchmark_hits(docs.select(digest.alias("digest"), docs[text_col].alias("text")), benchmark, "digest", "text").filter(F.col("n_hit") > 0).select(F.col("digest").alias(name)).distinct()
+    return docs.join(hit, digest == F.col(name), "left_anti")
 
 
 def op6(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -19,15 +19,18 @@ alternating large-star and small-star steps.
 
 Defined cases: a null text or one without words has an empty set, n_shingles 0,
 and stays alone; a text of fewer words than a shingle has one shingle, all its
-words; ids are integers.  ``near_duplicates`` tells documents apart by id: rows
-with equal ids are one document, each row gives a result, and a null id gives a
-null component and is kept.  ``drop_near_duplicates`` judges rows: repeated and
-null ids are no exception.
+words; a very long text is hashed alone, in a few dozen bytes a word; ids are
+integers (others are an error).  ``near_duplicates`` tells documents apart by id:
+rows with equal ids are one document, each row gives a result, and a null id gives
+a null component and is kept.  ``drop_near_duplicates`` judges rows: repeated and
+null ids are no exception, and of rows with equal ids the first one stays.  An empty
+table gives an empty one; other columns, whatever their names, pass through or are
+not read.
 """
 
 from __future__ import annotations
 
-import uuid
+import math
 
 import numpy as np
 import xxhash
@@ -35,10 +38,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import split_words
-from .common import checkpointed, map_texts, shared_folder, splitmix
+from .common import apart, checkpointed, free_name, map_texts, splitmix, written
 
 PERMUTATIONS, BAND_ROWS = 128, 4
-#: Similar means 100 * intersection >= 100 * THRESHOLD * union.
+#: Similar means intersection >= THRESHOLD * union.
 THRESHOLD = 0.8
 SHINGLE = 5
 #: Signature entries compared at a time, and the chance of pruning a similar pair.
@@ -182,7 +185,7 @@ def _against_pivot(members: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return joined.mapInArrow(run, "pivot long, id long, comp long, n int, k int, extra array<long>")
 
 
-def _across_components(members: DataFrame, percent: int) -> DataFrame:
+def _across_components(members: DataFrame, percent: float) -> DataFrame:
     """Pairs (a, b), a < b, between components of one pivot that can be similar.
 
     Sets s and x need o = percent (|s| + |x|) / (100 + percent) shingles in
@@ -193,13 +196,17 @@ def _across_components(members: DataFrame, percent: int) -> DataFrame:
     most as many more as follow it in either set.
     """
     need = F.ceil((F.col("x.n") + F.col("y.n")) * percent / (100.0 + percent) - 1e-9) - F.least("x.k", "y.k")
-    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n")
+    sizes = 100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n") - 1e-6
     pair = [F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")]
 
     # the pivot's shingles may do: kinds of members first, then their members
-    kinds = members.select("pivot", "comp", "n", "k").distinct()
-    close = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.comp") < F.col("y.comp")) & sizes & (need <= 0)
-    both = kinds.alias("x").join(kinds.alias("y"), close).select(F.col("x.pivot").alias("pivot"), *(F.col(f"{side}.{c}").alias(f"{side}{c}") for side in "xy" for c in ("comp", "n", "k")))
+    # need <= 0 takes this share of either set at least, and like sizes are in the
+    # same or in neighbouring bands of sizes
+    band = F.floor(F.log("n") / (1.001 * math.log(100 / percent))).cast("int")
+    kinds = members.filter(F.col("k") * 100 >= F.col("n") * percent - 1e-6).select("pivot", "comp", "n", "k").distinct().withColumn("band", band)
+    near = kinds.withColumn("band", F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))))
+    close = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") < F.col("y.comp")) & sizes & (need <= 0)
+    both = near.alias("x").join(kinds.alias("y"), close).select(F.col("x.pivot").alias("pivot"), *(F.col(f"{side}.{c}").alias(f"{side}{c}") for side in "xy" for c in ("comp", "n", "k")))
     of = lambda side: members.select("pivot", F.struct("id").alias(side), *(F.col(c).alias(f"{side}{c}") for c in ("comp", "n", "k")))
     by_pivot = both.join(of("x"), ["pivot", "xcomp", "xn", "xk"]).join(of("y"), ["pivot", "ycomp", "yn", "yk"]).select(*pair)
 
@@ -227,9 +234,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        edges = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges = both.join(apart(least, "u"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        edges = edges.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = edges.join(apart(least, "u"), "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = checkpointed(edges.filter("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
@@ -240,7 +247,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, class_id (least id with an equal set), component_id, kept."""
-    percent = round(100 * threshold)
+    percent = round(100 * threshold, 6)
     sigs = checkpointed(_signatures(docs, shingle, id_col, text_col))
     known = sigs.filter("fp IS NOT NULL AND id IS NOT NULL")
     classes = known.groupBy("fp").agg(F.min("id").alias("class_id"))
@@ -251,7 +258,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     band = F.expr(f"transform(sequence(0, {n_bands - 1}), k -> xxhash64(k, substring(sig, k * {4 * BAND_ROWS} + 1, {4 * BAND_ROWS})))")
     bands = heads.select("id", F.explode(band).alias("h"))
     full = bands.groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("least")).filter("n > 1")
-    members = checkpointed(bands.join(full, "h").select("h", "id", "n"))
+    members = checkpointed(bands.join(apart(full, "h"), "h").select("h", "id", "n"))
     fame = members.groupBy("id").agg(F.sum("n").alias("fame"))
     chosen = checkpointed(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(fame, "id").join(heads, "id").select("id", "fame", "sig", "text"))
     texts = chosen.select("id", "text")
@@ -259,14 +266,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     pivots = famed.groupBy("h").agg(F.max_by("id", F.struct("fame", -F.col("id"))).alias("pivot"))
     # written, so that a hot bucket's rows can be split in this join and are summed
     # up in part before any later one
-    pivoted = checkpointed(members.join(pivots, "h").select("h", "id", "pivot"))
+    pivoted = checkpointed(members.join(apart(pivots, "h"), "h").select("h", "id", "pivot"))
 
     def judged(pairs: DataFrame) -> DataFrame:
         """Exact sizes of the pairs that pass the sequential test, checkpointed."""
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return checkpointed(_verified(_pruned(pairs, chosen, threshold), texts, shingle, threshold))
 
-    linked = F.col("common") * 100 >= F.col("total") * percent
+    linked = F.col("common") * 100 >= F.col("total") * percent - 1e-6
     # 1. members with their bucket's pivot
     first = judged(pivoted.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")))
     links = first.filter(linked).select("a", "b")
@@ -275,14 +282,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: float =
     # 2. members of buckets that still hold several components, against their pivot
     labelled = pivoted.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     several = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
-    members = labelled.join(several, "h").select("pivot", "id", "comp").distinct()
+    members = labelled.join(apart(several, "h"), "h").select("pivot", "id", "comp").distinct()
     rest = _across_components(checkpointed(_against_pivot(members, texts, shingle)), percent)
     last = judged(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"))
     comps = connected_components(links.union(last.filter(linked).select("a", "b")))
 
-    joined = sigs.join(classes, "fp", "left").withColumn("class_id", F.coalesce("class_id", "id")).join(comps.withColumnRenamed("id", "class_id"), "class_id", "left")
-    component = F.coalesce("comp", "class_id")
-    return joined.select(F.col("id").alias(id_col), "n_shingles", "class_id", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    # what is known of a class, joined to its rows; rows without a set or an id stay out
+    facts = checkpointed(classes.join(comps.select(F.col("id").alias("class_id"), "comp"), "class_id", "left").select("fp", "class_id", F.coalesce("comp", "class_id").alias("component_id")))
+    alone = sigs.filter("fp IS NULL OR id IS NULL").select("id", "n_shingles", F.col("id").alias("class_id"), F.col("id").alias("component_id"))
+    joined = known.join(facts, "fp").select("id", "n_shingles", "class_id", "component_id").union(alone)
+    return joined.select(F.col("id").alias(id_col), "n_shingles", "class_id", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, threshold: float = THRESHOLD) -> DataFrame:
@@ -292,16 +301,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows are numbered and written first, so that a number means the same row in
     every later read.
     """
-    spark, folder = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/rows-{uuid.uuid4()}"
-    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
-    numbered.write.option("compression", "zstd").parquet(folder)
-    rows = spark.read.schema(numbered.schema).parquet(folder)
-    groups = near_duplicates(rows, shingle, threshold, "__row", text_col).select("__row", F.col("component_id").alias("__comp"))
-    order = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.col("__row").alias("row"))
-    groups = checkpointed(groups.join(rows.select("__row", order.alias("__order")), "__row"))
-    kept = groups.groupBy("__comp").agg(F.min("__order").alias("least")).select(F.col("least.row").alias("__row"))
-    lost = groups.select("__row").join(kept, "__row", "left_anti")
-    return rows.join(lost, "__row", "left_anti").drop("__row")
+    row = free_name(docs, "__row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_duplicates(rows, shingle, threshold, row, text_col).select(F.col(row).alias("row"), F.col("component_id").alias("comp"))
+    order = F.struct(F.col(id_col).isNull().alias("null"), F.col(id_col).alias("id"), F.col(row).alias("row"))
+    groups = checkpointed(groups.join(rows.select(F.col(row).alias("row"), order.alias("order")), "row"))
+    kept = groups.groupBy("comp").agg(F.min("order").alias("least")).select(F.col("least.row").alias("row"))
+    lost = groups.select("row").join(kept, "row", "left_anti").toDF(row)
+    return rows.join(lost, row, "left_anti").drop(row)
 
 
 def op5(docs: DataFrame) -> DataFrame:
