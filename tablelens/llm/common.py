@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..plans.cutting import checkpointed, shared_folder  # noqa: F401  used by the operators
+from ..plans.cutting import checkpointed, written  # noqa: F401  used by the operators
 
 #: Rows and text bytes handed to Python code at once (one row at least), so that
 #: memory follows one slice of a batch and not the whole batch.
@@ -41,14 +40,6 @@ def field(df: DataFrame, name: str) -> str:
     return f"`{name}` {df.schema[name].dataType.simpleString()}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read again: cuts its lineage where
-    an executor can be lost, and is smaller than a checkpoint of plain rows."""
-    folder = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4()}"
-    df.write.option("compression", "zstd").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, longer where a column has it."""
     taken = {c.lower() for c in df.columns}
