@@ -101,6 +101,9 @@ class Sample:
     trigrams: np.ndarray
     trigram_counts: np.ndarray
 
+    def arrays(self) -> tuple[np.ndarray, ...]:
+        return self.features, self.counts, self.trigrams, self.trigram_counts
+
     @classmethod
     def of_words(cls, language: str | None, kept_out: bool, words: list[str]) -> Sample:
         grams = Grams()
@@ -287,13 +290,14 @@ def training_rows(sample: DataFrame, lang_col: str, text_col: str) -> list[Sampl
     def make():
         def rows(langs, texts):
             found = [s for lang, text in zip(langs, texts) for s in samples_of(lang, text)]
-            return [(s.language, s.kept_out, *(x.tolist() for x in (s.features, s.counts, s.trigrams, s.trigram_counts))) for s in found]
+            return [(s.language, s.kept_out, *(x.astype("<i4").tobytes() for x in s.arrays())) for s in found]
 
         return rows
 
-    schema = f"{field(sample, lang_col)}, kept_out boolean, f array<int>, c array<int>, t array<int>, tc array<int>"
+    # packed, so that the driver holds the sample in about the size that it is sent in
+    schema = f"{field(sample, lang_col)}, kept_out boolean, f binary, c binary, t binary, tc binary"
     found = sorted((tuple(r) for r in map_texts(sample, make, schema, lang_col, text_col).collect()), key=lambda r: (r[0] or "", *r[1:]))
-    return [Sample(lang, kept, *(np.array(x, np.int64) for x in rest)) for lang, kept, *rest in found]
+    return [Sample(lang, kept, *(np.frombuffer(x, "<i4") for x in rest)) for lang, kept, *rest in found]
 
 
 def fit_languages(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = TEXTS_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> LanguageModel:

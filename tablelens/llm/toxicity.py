@@ -149,7 +149,7 @@ def train(samples: list[tuple[int, list[int]]], seed: int = 11, pairs: bool | No
     if not len(labels) or labels.min() == labels.max():
         p = float(labels.mean()) if len(labels) else 0.0
         return FactorizationMachine(float(np.log(max(p, 1e-9) / max(1 - p, 1e-9))), np.zeros((BUCKETS, 1 + FACTORS)))
-    texts = np.bincount(np.concatenate([f for _, f in samples if f] or [[0]]).astype(int), minlength=BUCKETS)
+    texts = np.bincount(np.concatenate([f for _, f in samples if len(f)] or [[0]]).astype(int), minlength=BUCKETS)
     usable = texts >= MIN_TEXTS
     rows = [(y, a[usable[a]]) for y, f in samples for a in [np.array(f, int)]]
     apart = np.random.default_rng(seed).random(len(rows)) < KEPT_OUT
@@ -185,9 +185,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     chosen = texts.join(F.broadcast(sample), id_col).select("label", "text")
 
     def make():
-        return lambda ys, ts: [(y, sorted({bucket(w) for w in terms_of(t)})) for y, t in zip(ys, ts)]
+        pack = lambda t: np.unique([bucket(w) for w in terms_of(t)]).astype("<i4").tobytes()
+        return lambda ys, ts: [(y, pack(t)) for y, t in zip(ys, ts)]
 
-    return train(sorted((r[0], list(r[1])) for r in map_texts(chosen, make, "label int, f array<int>", "label", "text").collect()))
+    # packed, so that the driver holds the sample in about the size that it is sent in
+    rows = sorted(tuple(r) for r in map_texts(chosen, make, "label int, f binary", "label", "text").collect())
+    return train([(y, np.frombuffer(f, "<i4")) for y, f in rows])
 
 
 def score_toxicity(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
