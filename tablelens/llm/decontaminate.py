@@ -6,8 +6,8 @@ necessary prefix of a window is a single shingle: the rarest, under a global
 order by the number of documents that hold it, then by the benchmark's.
 
 Documents are read twice, whatever the benchmark's size.  Shingles of the benchmark
-set bits in an array of at most 2^``MOST_BITS`` bits, which a scan tests (a wrong
-bit costs a look-up and no result).  The first scan counts in how many documents
+set two flags each in an array of at most 2^``MOST_FLAGS`` flags, which a scan tests
+(a wrong flag costs a look-up and no result).  The first scan counts in how many documents
 those shingles stand; the second keeps positions that may hold a window's prefix,
 each with the words around it.  These join the windows on the prefix, positional
 and length bounds place the window, and the words themselves are compared.  Joins
@@ -33,8 +33,9 @@ from .common import A_TO_Z, free_name, written
 WINDOW = 10
 #: Words of a shingle; windows of fewer words use single words.
 SHINGLE = 3
-#: Bits for each shingle in the array that a scan tests, and its largest size (8 MB).
-BITS_EACH, MOST_BITS = 32, 26
+#: Flags for each shingle in the array that a scan tests, and the logarithm of its
+#: largest size (16 MB).
+FLAGS_EACH, MOST_FLAGS = 64, 24
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPANS = "array<struct<start:int,end:int>>"
 
@@ -69,34 +70,39 @@ def window_shingles(windows: DataFrame) -> DataFrame:
     return each.select("*", F.expr(f"if(size(w) >= {SHINGLE}, {shingle_at('w', 'off')}, xxhash64(w[off]))").alias("h"), F.expr(f"char_length(array_join(slice(w, off + 1, {SHINGLE}), ' '))").alias("length"))
 
 
-def bits_of(hashes: DataFrame, most_bits: int) -> tuple[Column, int]:
-    """An array of 2^log longs, as a scalar subquery, with a bit set for every ``h``; and log."""
+def flags_of(hashes: DataFrame, most: int) -> tuple[Column, int]:
+    """An array of 2^log booleans, as a scalar subquery, true at the lowest and at the
+    highest ``log`` bits of every ``h``; and log."""
     hashes = hashes.select("h").distinct()
-    log = min(max(7, math.ceil(math.log2(max(1, hashes.count()) * BITS_EACH))), most_bits) - 6
-    words = hashes.groupBy(F.shiftrightunsigned("h", 64 - log).cast("int").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
-    every = hashes.sparkSession.range(0, 1 << log, 1, 1).select(F.col("id").cast("int").alias("k"))
-    full = every.join(words, "k", "left").select(F.struct("k", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
-    return full.agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.bits)).scalar(), log
+    log = min(max(6, math.ceil(math.log2(max(1, hashes.count()) * FLAGS_EACH))), most)
+    # flags are put together as words of 64, few enough for one task to line up
+    at = hashes.select(F.explode(F.array(F.col("h").bitwiseAND((1 << log) - 1), F.shiftrightunsigned("h", 64 - log))).alias("at"))
+    words = at.groupBy(F.shiftright("at", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
+    every = hashes.sparkSession.range(0, 1 << (log - 6), 1, 1).select(F.col("id").alias("k"))
+    lined = every.join(words, "k", "left").select(F.struct("k", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    longs = lined.agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return longs.select(F.expr("flatten(transform(x, w -> transform(sequence(0, 63), b -> getbit(w.bits, b) = 1)))").alias("flags")).scalar(), log
 
 
-def positions(texts: DataFrame, hashes: DataFrame, short: bool, most_bits: int, result: str) -> DataFrame:
-    """``texts`` with ``found``: ``result`` for every position whose shingle may be in
-    ``hashes``, and for every such word, if ``short``; and n_words.
+def positions(texts: DataFrame, hashes: DataFrame, short: bool, most: int, result: str) -> DataFrame:
+    """``texts`` without words, with x: n_words, and ``found``: ``result`` for every
+    position whose shingle may be in ``hashes``, and for every such word, if ``short``.
 
     ``result`` is SQL over v.ws (the words), p (a position from 0) and {h} (the hash).
     """
-    bits, log = bits_of(hashes, most_bits)
-    kinds = [(shingle_at("v.ws", "p"), f"p + {SHINGLE - 1} < size(v.ws)")] + [("xxhash64(get(v.ws, p))", "p < size(v.ws)")] * short
-    test = f"getbit(get(v.bits, cast(shiftrightunsigned({{h}}, {64 - log}) as int)), cast({{h}} & 63 as int)) = 1"
-    found = [f"transform(filter(sequence(0, size(v.ws) - 1), p -> p >= 0 AND {inside} AND {test.format(h=h)}), p -> {result.format(h=h)})" for h, inside in kinds]
-    # words and bits are bound once, as one value that the text refers to; no row of
-    # the plan carries the bits, as both projections become one
-    bound = texts.select("*", bits.alias("__bits"))
-    once = f"transform(array(struct(words AS ws, __bits AS bits)), v -> struct(size(v.ws) AS n_words, concat({', '.join(found)}) AS found))[0]"
+    flags, log = flags_of(hashes, most)
+    kinds = [(SHINGLE, shingle_at("v.ws", "p"))] + [(1, "xxhash64(get(v.ws, p))")] * short
+    test = f"get(v.flags, cast({{h}} & {(1 << log) - 1} as int)) AND get(v.flags, cast(shiftrightunsigned({{h}}, {64 - log}) as int))"
+    places = "if(size(v.ws) >= {n}, sequence(0, size(v.ws) - {n}), array())"
+    found = [f"transform(filter({places.format(n=n)}, p -> {test.format(h=h)}), p -> {result.format(h=h)})" for n, h in kinds]
+    # words and flags are bound once, as one value that the text refers to; no row of
+    # the plan carries the flags, as both projections become one
+    bound = texts.select("*", flags.alias("__flags"))
+    once = f"transform(array(struct(words AS ws, __flags AS flags)), v -> struct(size(v.ws) AS n_words, concat({', '.join(found)}) AS found))[0]"
     return bound.select(*(c for c in texts.columns if c != "words"), F.expr(once).alias("x"))
 
 
-def find_benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_bits: int = MOST_BITS) -> DataFrame:
+def find_benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, most_flags: int = MOST_FLAGS) -> DataFrame:
     """id, n_words, n_hit (words inside any occurrence of a window), items (ids
     with occurring windows, sorted as strings), spans (start, end; from 1)."""
     held = written(benchmark_windows(benchmark, item_id_col, item_text_col, window))
@@ -108,7 +114,7 @@ def find_benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
 
     # the prefix of every window: its rarest shingle
     shingles = window_shingles(held)
-    seen = positions(texts.select("words"), shingles, short, most_bits, "{h}").select(F.explode(F.array_distinct("x.found")).alias("h"))
+    seen = positions(texts.select("words"), shingles, short, most_flags, "{h}").select(F.explode(F.array_distinct("x.found")).alias("h"))
     spread = seen.groupBy("h").agg(F.count("*").alias("docs"))
     common = shingles.groupBy("h").agg(F.count("*").alias("windows")).join(spread, "h", "left")
     order = F.struct(F.coalesce("docs", F.lit(0).cast("long")), "windows", -F.col("length"), "h", "off")
@@ -117,7 +123,7 @@ def find_benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "do
     # positions of prefixes, and a null one for every row, which counts the row; null
     # keys are spread
     first = f"greatest(p - {window - 2}, 1)"
-    candidates = positions(texts, prefixes, short, most_bits, f"struct(p + 1 AS pos, {{h}} AS h, {first} AS first, slice(v.ws, {first}, {2 * window}) AS around)")
+    candidates = positions(texts, prefixes, short, most_flags, f"struct(p + 1 AS pos, {{h}} AS h, {first} AS first, slice(v.ws, {first}, {2 * window}) AS around)")
     rows = candidates.select("id", "same", "x.n_words", F.explode(F.concat(F.array(F.lit(None)), F.col("x.found"))).alias("c"))
     rows = rows.select("id", "same", "n_words", F.col("c").isNull().cast("long").alias("copy"), F.coalesce("c.h", F.xxhash64("id", "same", "n_words")).alias("h"), "c.pos", "c.first", "c.around")
     start = F.col("pos") - F.col("off")

@@ -23,8 +23,8 @@ def rows(spark):
     return spark.createDataFrame(ROWS, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("most_bits", [decontaminate.MOST_BITS, 9, 7])
-def test_every_row_gives_one_result(rows, bench, most_bits):
-    got = collections.Counter((r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in decontaminate.find_benchmark_hits(rows, bench, most_bits=most_bits).collect())
+@pytest.mark.parametrize("most_flags", [decontaminate.MOST_FLAGS, 9, 7])
+def test_every_row_gives_one_result(rows, bench, most_flags):
+    got = collections.Counter((r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in decontaminate.find_benchmark_hits(rows, bench, most_flags=most_flags).collect())
     assert got == collections.Counter((i, len((t or "").split()), *((14, 1) if t == LEAK else (0, 0))) for i, t in ROWS)
     assert decontaminate.op6(rows, bench.filter("false")).count() == decontaminate.op6(rows, bench).count() == len(ROWS)

@@ -243,8 +243,8 @@ def test_decontamination_against_brute_force(spark, texts, sf, odd, empty):
     cases = dict(list(texts.items())[:60]) | {10**6: "a solo TWO-words straße 12 été ÉTÉ", 10**6 + 1: None, 10**6 + 2: "solo solo", 10**6 + 3: items[0][1] + " x " + items[0][1]}
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame(list(cases.items()), "doc_id long, text string")
-    for most_bits in (decontaminate.MOST_BITS, 8):
-        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.find_benchmark_hits(docs, bench, most_bits=most_bits).collect()}
+    for most_flags in (decontaminate.MOST_FLAGS, 8):
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontaminate.find_benchmark_hits(docs, bench, most_flags=most_flags).collect()}
         assert got == {i: hits_brute(t, items) for i, t in cases.items()}
     rows = decontaminate.op6(odd, bench).collect()
     assert {r.doc_id for r in rows} == {r[0] for r in ODD} and not any(r.contaminated for r in rows)
