@@ -36,18 +36,19 @@ SHINGLE = 3
 #: Flags for each shingle in the array that a scan tests, and the logarithm of its
 #: largest size (16 MB).
 FLAGS_EACH, MOST_FLAGS = 64, 24
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What stands between words, once A-Z are in lower case.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 SPANS = "array<struct<start:int,end:int>>"
 
 
 def words_of(text: Column) -> Column:
     """The words of a text, A-Z in lower case; none for null.
 
-    ``lower`` is right for ASCII texts and much faster than ``translate``.
+    Splitting at single characters takes a seventh of the time that searching for
+    words takes.
     """
-    ascii_only = F.octet_length(text) == F.char_length(text)
-    lowered = F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, A_TO_Z, A_TO_Z.lower()))
-    return F.coalesce(F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    lowered = F.translate(text, A_TO_Z, A_TO_Z.lower())
+    return F.coalesce(F.filter(F.split(lowered, BETWEEN), lambda w: w != ""), F.array().cast("array<string>"))
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
