@@ -19,9 +19,6 @@ from ..plans.cutting import checkpointed, written  # noqa: F401  used by the ope
 #: memory follows one slice of a batch and not the whole batch.
 SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
-#: Text bytes of one block: what a single Python task holds at a time.
-BLOCK_BYTES = 8 << 20
-
 A_TO_Z = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER_ASCII = bytes.maketrans(A_TO_Z.encode(), A_TO_Z.lower().encode())
 
@@ -162,8 +159,8 @@ def splitmix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-def block_count(df: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks of about ``block_bytes`` of text, at least one per shuffle partition."""
+def block_counts(df: DataFrame, text_col: str, *sizes: int) -> list[int]:
+    """For each size, parts of about so much text, at least one per shuffle partition."""
     total = df.agg(F.sum(F.octet_length(F.col(text_col)))).first()[0] or 0
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(math.ceil(total / block_bytes), least)
+    return [max(math.ceil(total / size), least) for size in sizes]

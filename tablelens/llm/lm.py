@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .blocks import PACKED, Answer, BlockWords, answered, block_entries, collected, merged_answers, runs_of, split_words, to_buckets, with_block
-from .common import block_count, crc_bucket, field, splitmix
+from .common import block_counts, crc_bucket, field, splitmix
 
 MU = 500.0
 #: Text bytes of a block, whose automaton takes about forty times that in a task,
@@ -151,7 +151,7 @@ def score_texts(df: DataFrame, train: Column, id_col: str = "doc_id", text_col:
     """id, n_tokens, n_known, train_tokens, base_score (add-one unigrams) and
     score (the automaton) of every row; learned from the rows where ``train``.
     """
-    n_blocks, n = (block_count(df, text_col, size) for size in (BLOCK_TEXT, BUCKET_TEXT))
+    n_blocks, n = block_counts(df, text_col, BLOCK_TEXT, BUCKET_TEXT)
     blocks = with_block(df, n_blocks, id_col, text_col, F.coalesce(train, F.lit(False)).alias("train"))
     total, vocabulary = training_totals(df, train, text_col, n)
 
